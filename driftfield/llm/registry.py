@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftfield.llm import quality, sharding, url_filter
+from driftfield.llm import bpe, quality, sharding, url_filter
 from driftfield.llm.shared import table
 
 #: The rules that the URL query judges by.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def tokenizer_file() -> str:
+    """The tokenizer's file; its place is a parameter (``DRIFTFIELD_TOKENIZER``), by default the installed public one."""
+    if own := os.environ.get("DRIFTFIELD_TOKENIZER"):
+        return own
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    codec = bpe.Codec(spark, tokenizer_file(), [r["word"] for r in bpe.frequent_words(docs).collect()])
+    coded = bpe.decode(bpe.encode(docs, codec).drop("text"), codec)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -29,6 +47,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op9_sharding": op9_sharding,

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import driftfield
 
@@ -68,3 +75,45 @@ def lowered(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Words between runs of ASCII white space; none for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes sum to ``most`` at most; a larger row is a run of its own."""
+    begin = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and total + n > most:
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def byte_sizes(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def arrow_mapped(docs: DataFrame, inputs: list[Column], made: list[T.StructField], make: Callable[[list[pa.Array]], Iterable[tuple[int, int, list[pa.Array]]]]) -> DataFrame:
+    """``docs`` with the columns ``made``: ``make`` gets the inputs of a batch and yields (from, to, made arrays) for runs of its rows in order.
+
+    Other columns pass through untouched; an input column called like a made one is replaced.
+    """
+    taken = {m.name.lower() for m in made}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    row = F.struct(*[docs[f"`{c}`"] for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    given = docs.select(row.alias("__row"), *[x.alias(f"__in{i}") for i, x in enumerate(inputs)])
+    names = ["__row", *[f"__out{i}" for i in range(len(made))]]
+    schema = T.StructType([given.schema["__row"], *[T.StructField(n, m.dataType) for n, m in zip(names[1:], made)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, out in make(batch.columns[1:]):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *out], names=names)
+
+    out = given.mapInArrow(run, schema)
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in kept], *[F.col(n).alias(m.name) for n, m in zip(names[1:], made)])
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker: functions sent by value have fresh globals in each task."""
+    return sys.modules.setdefault("_driftfield_worker", types.ModuleType("_driftfield_worker")).__dict__.setdefault("cache", {})
