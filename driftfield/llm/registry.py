@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftfield.llm import bpe, decontaminate, quality, secrets, sharding, url_filter
+from driftfield.llm import bpe, decontaminate, quality, secrets, sharding, simhash, url_filter
 from driftfield.llm.shared import table
 
 #: The rules that the URL query judges by.
@@ -30,6 +30,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, errors=4)
+    return found.select("doc_id", simhash.hexed(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -61,6 +66,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_simhash": op2_simhash,
     "op3_secret_scans": op3_secret_scans,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
