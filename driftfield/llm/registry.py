@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftfield.llm import bpe, decontaminate, quality, secrets, sharding, simhash, url_filter
+from driftfield.llm import bpe, decontaminate, quality, secrets, sharding, simhash, toxicity, url_filter
 from driftfield.llm.shared import table
 
 #: The rules that the URL query judges by.
@@ -59,6 +59,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     return rows.select("doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
 }
 
