@@ -23,10 +23,11 @@ from driftfield.llm.shared import arrow_mapped, byte_sizes, slices, worker_cache
 
 #: Bounds of the sample that is fitted on: so many positives and unlabelled texts at most, by the order of a hash of their ids.
 POSITIVES, UNLABELLED = 20_000, 40_000
-#: Features of a model.
+#: Features of a model, and the positives that must have one: so many and this share of them.
 FEATURES = 2_048
+RARE, RARE_SHARE = 3, 0.005
 #: Lengths of the word beginnings that are features besides whole words.
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS: tuple[int, ...] = ()
 #: Words that a worker remembers the features of before it starts afresh.
 REMEMBERED = 200_000
 
@@ -63,7 +64,7 @@ def _margins(rows: np.ndarray, which: np.ndarray, n: int, w: np.ndarray, b: floa
     return np.bincount(which, weights=w[rows], minlength=n) + b
 
 
-def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features: int, prior: float, steps: int = 400, rate: float = 0.2, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative PU risk under the logistic loss, by Adam over the whole sample.
 
     Without positives every text gets the prior as its score.
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # How far the rate among positives is above the unlabelled one, in standard errors.
     rp, ru = F.col("np") / F.lit(size["a"]), (F.col("nu") + 1) / F.lit(size["b"] + 2)
     apart = (rp - ru) / F.sqrt(ru * (1 - ru) * F.lit(1 / size["a"] + 1 / size["b"]) + F.lit(1e-12))
-    chosen = [r["f"] for r in counts.where("np >= 3").withColumn("z", apart).where("z > 3").orderBy(F.desc("z"), "f").limit(features).collect()]
+    chosen = [r["f"] for r in counts.where(F.col("np") >= RARE + size["a"] * RARE_SHARE).withColumn("z", apart).where("z > 3").orderBy(F.desc("z"), "f").limit(features).collect()]
     at = {f: k for k, f in enumerate(sorted(chosen))}
     rows = present(sample, sorted(chosen), "t").select("positive", "unlabelled", "present").collect()
     w, b = fit_nnpu([r["present"] for r in rows if r["positive"]], [r["present"] for r in rows if r["unlabelled"]], len(at), prior)
