@@ -13,8 +13,10 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, shared_dir, slices, worker_cache
+from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, shared_dir, slices, worker_cache
 
 #: Fixed value: the pattern that cuts a text into words before any merge.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,9 +42,9 @@ NEWER = (
 #: At most so many words are compiled (about 3 MB of automaton); rarer ones are merged when met.
 LEXICON_WORDS = 100_000
 #: Merged words that a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Text bytes that are handled at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _byte_chars() -> dict[str, int]:
@@ -51,6 +53,9 @@ def _byte_chars() -> dict[str, int]:
     others = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
+#: No merge; and the mask of an id below its merge's rank.
+NEVER, ID = 1 << 62, (1 << 20) - 1
+
 
 class Merges:
     """The vocabulary and merge rules of a tokenizer file, with exact encoding of single words."""
@@ -67,27 +72,24 @@ class Merges:
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        self.ranked = {p: rank << 20 | new for p, (rank, new) in self.pairs.items()}  # ordered by rank; the id in the low bits
 
     def word(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of lowest rank, leftmost first, merges until none is left."""
         ids = [self.single[b] for b in word]
         if len(ids) > 48:
             return self._long(ids)
-        pairs = self.pairs
-        found = [pairs.get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best, at = None, -1
-            for i, p in enumerate(found):
-                if p is not None and (best is None or p < best):
-                    best, at = p, i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
+        get = self.ranked.get
+        found = [get(p, NEVER) for p in zip(ids, ids[1:])]
+        while found and (best := min(found)) != NEVER:
+            at = found.index(best)
+            ids[at : at + 2] = [best & ID]
             del found[at]
             if at:
-                found[at - 1] = pairs.get((ids[at - 1], ids[at]))
+                found[at - 1] = get((ids[at - 1], ids[at]), NEVER)
             if at < len(found):
-                found[at] = pairs.get((ids[at], ids[at + 1]))
+                found[at] = get((ids[at], ids[at + 1]), NEVER)
+        return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap over linked neighbours, in n log n steps."""
@@ -225,13 +227,12 @@ class Encoder:
     def __init__(self, merges: Merges, lexicon: Lexicon):
         self.merges, self.lexicon, self.merged = merges, lexicon, {}
         newer = "".join("-".join(rf"\U{int(c, 16):08X}" for c in r.split("-")) for r in NEWER.split())
-        self.pieces, self.newer = regex.compile(PIECES), regex.compile(f"[{newer}]")
+        self.pieces, self.newer = regex.compile(PIECES), re.compile(f"[{newer}]")
         letters, numbers = rf"[\p{{L}}--[{newer}]]", rf"[\p{{N}}--[{newer}]]"
         self.older = regex.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^\s||{letters}||{numbers}]").replace(r"?\p{L}", f"?{letters}").replace(r"?\p{N}", f"?{numbers}"), regex.V1)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
 
-    def words(self, text: str) -> list[str]:
-        pieces = self.pieces if text.isascii() or not self.newer.search(text) else self.older
+    def words(self, text: str, pieces: regex.Pattern) -> list[str]:
         if self.special is None or not any(s in text for s in self.merges.special):
             return pieces.findall(text)
         out = []
@@ -264,15 +265,16 @@ class Encoder:
 
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        lists = [self.words(t) for t in texts]
-        seen: dict[str, int] = {}
-        for words in lists:
-            seen.update(dict.fromkeys(words, 0))
+        lists = [self.words(t, self.pieces) for t in texts]
+        seen = dict.fromkeys(chain.from_iterable(lists), 0)
+        if self.newer.search("".join(seen)):
+            lists = [self.words(t, self.older) if self.newer.search(t) else words for t, words in zip(texts, lists)]
+            seen = dict.fromkeys(chain.from_iterable(lists), 0)
         for i, w in enumerate(seen):
             seen[w] = i
         flat, lens = self.ids_of(list(seen))
         counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        which = np.fromiter((i for words in lists for i in map(seen.__getitem__, words)), dtype=np.int64, count=int(counts.sum()))
+        which = np.fromiter(map(seen.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(counts.sum()))
         ids, each = _repeated(flat, np.cumsum(lens) - lens, lens, which)
         ends = np.concatenate([[0], np.cumsum(each)])
         upto = np.concatenate([[0], np.cumsum(counts)])
@@ -282,8 +284,10 @@ class Encoder:
 def _spread(to: np.ndarray, to_at: np.ndarray, source: np.ndarray, at: np.ndarray, lens: np.ndarray) -> None:
     """Copies runs of ``source`` to runs of ``to``."""
     if lens.size:
-        step = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-        to[np.repeat(to_at, lens) + step] = source[np.repeat(at, lens) + step]
+        kind = np.int32 if max(to.size, source.size) < 1 << 31 else np.int64
+        ends = np.cumsum(lens)
+        step = np.arange(int(ends[-1]), dtype=kind)
+        to[np.repeat((to_at - ends + lens).astype(kind), lens) + step] = source[np.repeat((at - ends + lens).astype(kind), lens) + step]
 
 
 def _repeated(flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,10 +318,24 @@ def _hadoop_path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
-    """``word`` and ``n`` of the ``most`` most frequent words (runs of letters with the blank before) over all rows; ties by word."""
+def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS, least: int = 4) -> list[str]:
+    """The most frequent words (runs of letters) over all rows, ``most`` at most; words of equal counts come in together or not at all.
+
+    Words are counted on the cluster. The driver sees how many words have each count, which gives the least count that
+    fits, and then those words alone.
+    """
     word = F.explode(F.split(F.col(f"`{text}`"), r"[^\p{L}]+")).alias("word")
-    return docs.select(word).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counts = cut(docs.select(word).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    # One row for each length of a count in bits and its three leading ones: a few hundred however large the corpus is.
+    step = F.floor(F.log2("n") * 8)
+    sizes = sorted(((r["s"], r["w"], r["low"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("w"), F.min("n").alias("low")).collect()), reverse=True)
+    total, low = 0, None
+    for _, words, begin in sizes:
+        total += words
+        if total > most:
+            break
+        low = begin
+    return [] if low is None else [r["word"] for r in counts.where(F.col("n") >= low).select("word").collect()]
 
 
 class Codec:
@@ -382,3 +400,20 @@ def decode(docs: DataFrame, codec: Codec, ids: str = "ids", decoded: str = "deco
             yield a, b, [pa.array(decoder.decoded(ids, counts[a:b]), pa.string())]
 
     return arrow_mapped(docs, [F.col(f"`{ids}`")], [T.StructField(decoded, T.StringType())], make)
+
+
+def encode_and_decode(docs: DataFrame, codec: Codec, derived: list[T.StructField], derive: Callable[[list[np.ndarray], list[str]], list[list]], text: str = "text") -> DataFrame:
+    """``docs`` with columns that ``derive`` makes, in the worker, from the ids and the decoded texts of a slice of rows.
+
+    Ids and decoded texts are those of ``encode`` and ``decode``; they need not go through the JVM where only what is
+    derived from them is wanted.
+    """
+
+    def make(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        encoder, decoder = codec.tools()
+        for a, b in slices(byte_sizes(columns[0]), SLICE_BYTES):
+            flat, counts = encoder.encoded([x or "" for x in columns[0].slice(a, b - a).to_pylist()])
+            out = derive(np.split(flat, np.cumsum(counts)[:-1]), decoder.decoded(flat, counts))
+            yield a, b, [pa.array(x) for x in out]
+
+    return arrow_mapped(docs, [F.col(f"`{text}`").cast("string")], derived, make)

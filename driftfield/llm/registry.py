@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftfield.llm import bpe, decontaminate, quality, secrets, sharding, simhash, toxicity, url_filter
 from driftfield.llm.shared import table
@@ -23,11 +25,16 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _digests(ids: list, texts: list[str]) -> list[list]:
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return [[len(i) for i in ids], [sha(",".join(map(str, i.tolist()))) for i in ids], [sha(x) for x in texts]]
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    codec = bpe.Codec(spark, tokenizer_file(), [r["word"] for r in bpe.frequent_words(docs).collect()])
-    coded = bpe.decode(bpe.encode(docs, codec).drop("text"), codec)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    codec = bpe.Codec(spark, tokenizer_file(), bpe.frequent_words(docs))
+    made = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields
+    return bpe.encode_and_decode(docs, codec, made, _digests).drop("text")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
