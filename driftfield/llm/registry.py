@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm import bpe, decontaminate, quality, secrets, sharding, simhash, toxicity, url_filter
+from driftfield.llm import bpe, decontaminate, html_extract, quality, secrets, sharding, simhash, toxicity, url_filter, warc
 from driftfield.llm.shared import table
 
 #: The rules that the URL query judges by.
@@ -61,6 +61,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", *quality.MEASURES, (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
@@ -77,15 +82,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derived_records(warc.responses(table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_secret_scans": op3_secret_scans,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_extraction": op6_html_extraction,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
