@@ -10,6 +10,7 @@ A slice of texts becomes ids without a Python loop over ids: words map to distin
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import mmap
@@ -417,3 +418,8 @@ def encode_and_decode(docs: DataFrame, codec: Codec, derived: list[T.StructField
             yield a, b, [pa.array(x) for x in out]
 
     return arrow_mapped(docs, [F.col(f"`{text}`").cast("string")], derived, make)
+
+
+def ids_and_digests(ids: list[np.ndarray], texts: list[str]) -> list[list]:
+    """The ids as they are, and the SHA-256 of each decoded text."""
+    return [ids, [hashlib.sha256(x.encode()).hexdigest() for x in texts]]

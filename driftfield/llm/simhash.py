@@ -21,35 +21,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, slices
+from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, slices, written
 
 SEED = 42
 #: Fingerprints of one trie; fuller ones are cut into parts of about so many.
 PART = 1024
 #: Fingerprints that the tries of one partition hold on average.
 PER_TASK = 50_000
+#: Links of a node that go on to an exact comparison where a trie has more.
+NEAREST = 6
 #: Node pairs below which leaves are compared directly.
 DIRECT = 64
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """Majority bits of XXH64 over the shingles, repeats included; a text of fewer words is one shingle, of none zero."""
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many of the rows (n x k words of 64 bits) have each bit set.
+
+    Full adders work on whole words: three rows of one weight become a sum row and a carry row of twice the weight, until
+    a few rows of each weight are left to unpack.
+    """
+    counts, weight = np.zeros(64 * rows.shape[1], dtype=np.int64), 0
+    while rows.shape[0]:
+        carries = [rows[:0]]
+        while rows.shape[0] > 2:
+            t = rows.shape[0] // 3
+            x, y, z = rows[:t], rows[t : 2 * t], rows[2 * t : 3 * t]
+            either = x ^ y
+            carries.append((x & y) | (either & z))
+            rows = np.concatenate([either ^ z, rows[3 * t :]])
+        bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8).reshape(rows.shape[0], -1), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64) << weight
+        rows, weight = np.concatenate(carries), weight + 1
+    return counts
+
+
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = text.lower().split() if text else []
     n = len(words)
     if not n:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, dtype="<u8")
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], dtype="<u8")
     lens = np.fromiter(map(len, words), dtype=np.int64, count=n)
     ends = np.cumsum(lens + 1) - 1
-    digest = xxhash.xxh64_intdigest
-    count, total = np.zeros(64, dtype=np.int64), n - shingle + 1
-    starts, stops = (ends - lens)[:total], ends[shingle - 1 :]
-    for i in range(0, total, 1 << 15):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 15)].tolist(), stops[i : i + (1 << 15)].tolist())], dtype="<u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(sum(1 << int(i) for i in np.flatnonzero(2 * count > total)))
+    starts, stops = (ends - lens)[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype="<u8", count=n - shingle + 1)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash itself, and k - 1 more that a mixer (splitmix64) makes of it, as columns."""
+    out = [h]
+    for i in range(1, k):
+        x = h + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.stack(out, axis=1)
+
+
+def signature(hashes: np.ndarray, k: int = 1) -> np.ndarray:
+    """``k`` fingerprints of 64 bits: a bit is one if it is in over half the hashes. Without hashes they are zero."""
+    counts, n = np.zeros(64 * k, dtype=np.int64), len(hashes)
+    for i in range(0, n, 1 << 14):
+        counts += bit_counts(_mixed(hashes[i : i + (1 << 14)], k))
+    return np.packbits(2 * counts > n, bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """Majority bits of XXH64 over the shingles of a text."""
+    return int(signature(shingle_hashes(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, made: str = "fingerprint") -> DataFrame:
@@ -93,11 +135,10 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(which.size) - np.repeat(np.cumsum(n) - n, n) + lo[which], which
 
 
-def trie_links(trie: np.ndarray, side: np.ndarray, mark: np.ndarray, errors: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(trie: np.ndarray, mark: np.ndarray, errors: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (positions) of rows in the same trie whose marks differ in at most ``errors`` bits.
 
-    Rows are sorted by (trie, mark). In a trie of one part all pairs are meant; in one of two parts (sides 0 and 1) pairs
-    across as well, which the same traversal finds.
+    Rows are sorted by (trie, mark).
     """
     n = trie.size
     if n < 2:
@@ -163,44 +204,93 @@ class Forest:
                 self.root = up
 
 
-def _partition_links(errors: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _read(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    """The partition's columns, sorted by (trie, mark)."""
+    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return None
+    trie, mark, *more = (np.concatenate(x) for x in zip(*parts))
+    mark = mark.view(np.uint64)
+    order = np.lexsort((mark, trie))
+    return [x[order] for x in (trie, mark, *more)]
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _forest_links(errors: int):
+    """Of the links in a partition a spanning forest, between fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
+        if (got := _read(batches)) is None:
             return
-        trie, mark = (np.concatenate([p[i] for p in parts]) for i in range(2))
-        mark = mark.view(np.uint64)
-        order = np.lexsort((mark, trie))
-        trie, mark = trie[order], mark[order]
+        trie, mark = got[:2]
         forest = Forest(trie.size)
-        for a, b in trie_links(trie, trie, mark, errors):
+        for a, b in trie_links(trie, mark, errors):
             forest.join(a, b)
         tied = np.flatnonzero(forest.root != np.arange(trie.size))
-        a, b = mark[tied].view(np.int64), mark[forest.root[tied]].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+        yield _edges(mark[tied].view(np.int64), mark[forest.root[tied]].view(np.int64))
+
+    return run
+
+
+def _near_links(errors: int):
+    """Links between nodes: all of a trie if they are few, else those to the nearest of each node and to its first ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := _read(batches)) is None:
+            return
+        trie, mark, node = got
+        begins = np.flatnonzero(np.concatenate([[True], trie[1:] != trie[:-1]]))
+        ends = np.concatenate([begins[1:], [trie.size]])
+        at = 0
+        while at < begins.size:  # tries in runs of a few thousand rows, so that the links of one run fit in memory
+            upto = max(at + 1, int(np.searchsorted(ends, begins[at] + 2 * PART, side="right")))
+            lo, hi = begins[at], ends[upto - 1]
+            at = upto
+            found = list(trie_links(trie[lo:hi], mark[lo:hi], errors))
+            if not found:
+                continue
+            a, b = (np.concatenate(x) + lo for x in zip(*found))
+            if a.size > NEAREST * (hi - lo):
+                apart = np.bitwise_count(mark[a] ^ mark[b])
+                one, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
+                order = np.lexsort((other, d, one))
+                one, other = one[order], other[order]
+                first = np.concatenate([[0], np.flatnonzero(one[1:] != one[:-1]) + 1])
+                rank = np.arange(one.size) - np.repeat(first, np.diff(np.concatenate([first, [one.size]])))
+                a, b = one[rank < NEAREST], other[rank < NEAREST]
+            a, b = node[a], node[b]
+            yield _edges(np.maximum(a, b)[a != b], np.minimum(a, b)[a != b])
 
     return run
 
 
+def _dealt(marks: DataFrame, masks: list[tuple[int, int]], errors: int, run, columns: list[str], rows: int) -> DataFrame:
+    """Deals (``mark``, ``sketch``, ...) to tries and runs the self-join in each partition.
+
+    Tries of more than ``PART`` rows are cut: a row goes to the part that a hash names, and each pair of parts is a trie.
+    """
+    mark = F.col("mark")
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = F.array(*[F.xxhash64(F.lit(i), "sketch", mark.bitwiseAND(F.lit(signed(m)).cast("long"))) for m, i in masks])
+    dealt = marks.select(*columns, F.explode(keys).alias("trie"))
+    full = dealt.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("trie", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    parts, own = F.coalesce("parts", F.lit(1)), F.pmod(F.xxhash64(F.lit("part"), *columns), F.coalesce("parts", F.lit(1)))
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.xxhash64("trie", F.least(own, x.cast("long")), F.greatest(own, x.cast("long"))))
+    each = dealt.join(full, "trie", "left").select(F.when(parts == 1, F.array("trie")).otherwise(pairs).alias("tries"), *columns).select(F.explode("tries").alias("trie"), *columns)
+    tasks = max(1, math.ceil(rows * len(masks) / PER_TASK), int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return each.repartition(tasks, "trie").mapInArrow(run(errors), "a long, b long").distinct()
+
+
 def links(marks: DataFrame, errors: int = 4, column: str = "fingerprint") -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints: a forest that connects what pairs within ``errors`` bits connect.
 
     ``marks`` has each fingerprint once. Every pair is compared in some trie; no pair is lost to a cap.
     """
     n = marks.count()
-    masks = choices(errors, n)
-    mark = F.col(column)
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*[F.xxhash64(F.lit(i), mark.bitwiseAND(F.lit(signed(m)).cast("long"))) for m, i in masks])
-    dealt = marks.select(mark.alias("mark"), F.explode(keys).alias("trie"))
-    full = dealt.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("trie", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    parts, own = F.coalesce("parts", F.lit(1)), F.pmod(F.xxhash64(F.lit("part"), "mark"), F.coalesce("parts", F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.xxhash64("trie", F.least(own, x.cast("long")), F.greatest(own, x.cast("long"))))
-    each = dealt.join(full, "trie", "left").select(F.when(parts == 1, F.array("trie")).otherwise(pairs).alias("tries"), "mark").select(F.explode("tries").alias("trie"), "mark")
-    tasks = max(1, math.ceil(n * len(masks) / PER_TASK), int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return each.repartition(tasks, "trie").mapInArrow(_partition_links(errors), "a long, b long").distinct()
+    return _dealt(marks.select(F.col(column).alias("mark"), F.lit(0).alias("sketch")), choices(errors, n), errors, _forest_links, ["mark"], n)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,3 +334,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     marked = cut(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", shingle).drop("text"))
     return marked.join(classes(marked, errors=errors), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, sketches: int = 8, errors: int = 7) -> DataFrame:
+    """The documents that stay when one of each group of near copies does: ``docs`` with its columns as they are.
+
+    Texts are near copies if the sets of their word shingles have a Jaccard similarity of ``similarity`` or more; texts of
+    the same words are copies (those without words, too). Candidates are texts of which one of ``sketches`` independent
+    fingerprints lies within ``errors`` bits: at a similarity of 0.8 one does in about 98 of 100 pairs, at 0.85 in over
+    99. Each candidate is compared exactly, and groups are what confirmed links connect. In a trie that a large group
+    fills, a node's nearest links are compared, not all. Null texts count as empty; an empty table gives an empty result.
+    """
+    columns = docs.columns
+    made = [T.StructField("__words", T.StringType()), T.StructField("__marks", T.ArrayType(T.LongType()))]
+
+    def make(batch: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for a, b in slices(byte_sizes(batch[0]), 4 << 20):
+            texts = [x or b"" for x in batch[0].slice(a, b - a).to_pylist()]
+            marks = [signature(shingle_hashes(x, shingle), sketches).view(np.int64) for x in texts]
+            words = [xxhash.xxh3_128_hexdigest(b" ".join(x.lower().split())) for x in texts]
+            yield a, b, [pa.array(words, pa.string()), pa.array(marks, pa.list_(pa.int64()))]
+
+    def hashed(batch: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for a, b in slices(byte_sizes(batch[0]), 4 << 20):
+            yield a, b, [pa.array([np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in batch[0].slice(a, b - a).to_pylist()], pa.list_(pa.int64()))]
+
+    source = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__id"))
+    binary = [F.col("__text").cast("binary")]
+    kept = written(arrow_mapped(source, binary, made, make), "signatures")
+    nodes = cut(kept.groupBy("__words").agg(F.min(F.struct("__id", "__marks")).alias("m")).select(F.col("m.__id").alias("node"), F.col("m.__marks").alias("marks")))
+    n = nodes.count()
+    each = nodes.select("node", F.posexplode("marks").alias("sketch", "mark"))
+    found = cut(_dealt(each, choices(errors, n), errors, _near_links, ["mark", "node"], n * sketches))
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    sets = arrow_mapped(kept.join(ends, kept["__id"] == ends["node"]).select("node", "__text"), binary, [T.StructField("set", T.ArrayType(T.LongType()))], hashed).select("node", "set")
+    sets = cut(sets)
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    near = found.join(left, "a").join(right, "b").where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
+    gone = components(near).where("node <> root").select(F.col("node").alias("__gone"))
+    stay = nodes.join(gone, nodes["node"] == gone["__gone"], "left_anti").select("node")
+    return kept.join(stay, kept["__id"] == stay["node"], "left_semi").select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])

@@ -33,7 +33,7 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.IGNORECASE | re.DOTALL
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 
-RECORDS = T.StructType.fromDDL("warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, refers_to_digest string, block string")
+RECORDS = T.StructType([T.StructField(c, T.StringType()) for c in "warc_type record_id refers_to concurrent_to target_uri date content_type block_digest payload_digest refers_to_digest block".split()])
 
 
 def digest(data: bytes) -> str:
