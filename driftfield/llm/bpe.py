@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, shared_dir, slices, worker_cache
+from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, shared_dir, slices, texts_of, worker_cache
 
 #: Fixed value: the pattern that cuts a text into words before any merge.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -384,10 +384,10 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids")
     def make(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         encoder = codec.tools()[0]
         for a, b in slices(byte_sizes(columns[0]), SLICE_BYTES):
-            flat, counts = encoder.encoded([x or "" for x in columns[0].slice(a, b - a).to_pylist()])
+            flat, counts = encoder.encoded([x or "" for x in texts_of(columns[0].slice(a, b - a))])
             yield a, b, [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))]
 
-    return arrow_mapped(docs, [F.col(f"`{text}`").cast("string")], [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return arrow_mapped(docs, [text], [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
 
 def decode(docs: DataFrame, codec: Codec, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -400,7 +400,7 @@ def decode(docs: DataFrame, codec: Codec, ids: str = "ids", decoded: str = "deco
             ids = columns[0].slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             yield a, b, [pa.array(decoder.decoded(ids, counts[a:b]), pa.string())]
 
-    return arrow_mapped(docs, [F.col(f"`{ids}`")], [T.StructField(decoded, T.StringType())], make)
+    return arrow_mapped(docs, [ids], [T.StructField(decoded, T.StringType())], make)
 
 
 def encode_and_decode(docs: DataFrame, codec: Codec, derived: list[T.StructField], derive: Callable[[list[np.ndarray], list[str]], list[list]], text: str = "text") -> DataFrame:
@@ -413,11 +413,11 @@ def encode_and_decode(docs: DataFrame, codec: Codec, derived: list[T.StructField
     def make(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         encoder, decoder = codec.tools()
         for a, b in slices(byte_sizes(columns[0]), SLICE_BYTES):
-            flat, counts = encoder.encoded([x or "" for x in columns[0].slice(a, b - a).to_pylist()])
+            flat, counts = encoder.encoded([x or "" for x in texts_of(columns[0].slice(a, b - a))])
             out = derive(np.split(flat, np.cumsum(counts)[:-1]), decoder.decoded(flat, counts))
             yield a, b, [pa.array(x) for x in out]
 
-    return arrow_mapped(docs, [F.col(f"`{text}`").cast("string")], derived, make)
+    return arrow_mapped(docs, [text], derived, make)
 
 
 def ids_and_digests(ids: list[np.ndarray], texts: list[str]) -> list[list]:

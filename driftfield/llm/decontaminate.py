@@ -126,7 +126,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     ``PART_BYTES`` is searched in further passes that add to the spans and items found so far.
     """
     made = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("full", T.BooleanType())]
-    out, so_far = docs, [F.lit(None).cast(m.dataType) for m in made[1:]]
+    names, out, done = [m.name for m in made[1:]], docs, False
     for part in _parts(benchmark, item, item_text):
         sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part))
 
@@ -145,7 +145,9 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
                     rows.append((len(words), [i for s in spans for i in s], sorted({*map(str, found), *(known or ())}), full or bool(whole)))
                 yield a, b, [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.bool_()))]
 
-        out = arrow_mapped(out, [F.col(f"`{text}`").cast("string").cast("binary"), *so_far], made, make)
-        so_far = [F.col(m.name) for m in made[1:]]
+        # What was found so far goes in under other names, as columns called like the made ones are replaced.
+        given = out.select(*[c for c in out.columns if not (done and c in names)], *[(F.col(n) if done else F.lit(None).cast(m.dataType)).alias(f"__so_far_{n}") for n, m in zip(names, made[1:])])
+        out = arrow_mapped(given, [text, *[f"__so_far_{n}" for n in names]], made, make).drop(*[f"__so_far_{n}" for n in names])
+        done = True
     spans = F.col("hit_spans")
     return out.withColumn("n_hit", F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x))

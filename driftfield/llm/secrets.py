@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, slices
+from driftfield.llm.shared import arrow_mapped, byte_sizes, slices, texts_of
 
 #: The patterns of the base kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -160,11 +160,11 @@ def scan(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame
 
     def make(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         for a, b in slices(byte_sizes(columns[0]), 4 << 20):
-            found = [spans_of(x) if x else [] for x in columns[0].slice(a, b - a).to_pylist()]
+            found = [spans_of(x) if x else [] for x in texts_of(columns[0].slice(a, b - a))]
             kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
             yield a, b, [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found], pa.list_(kind))]
 
-    return arrow_mapped(docs, [F.col(f"`{text}`").cast("string")], [T.StructField(spans, T.ArrayType(SPAN))], make)
+    return arrow_mapped(docs, [text], [T.StructField(spans, T.ArrayType(SPAN))], make)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
@@ -180,6 +180,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataF
 
     def make(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         for a, b in slices(byte_sizes(columns[0]), 4 << 20):
-            yield a, b, [pa.array([x and cleaned(x) for x in columns[0].slice(a, b - a).to_pylist()], pa.string())]
+            yield a, b, [pa.array([x and cleaned(x) for x in texts_of(columns[0].slice(a, b - a))], pa.string())]
 
-    return arrow_mapped(docs, [F.col(f"`{text}`").cast("string")], [T.StructField(text, T.StringType())], make).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return arrow_mapped(docs, [text], [T.StructField(text, T.StringType())], make).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -93,27 +93,46 @@ def byte_sizes(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def arrow_mapped(docs: DataFrame, inputs: list[Column], made: list[T.StructField], make: Callable[[list[pa.Array]], Iterable[tuple[int, int, list[pa.Array]]]]) -> DataFrame:
-    """``docs`` with the columns ``made``: ``make`` gets the inputs of a batch and yields (from, to, made arrays) for runs of its rows in order.
+#: Rows of a batch that goes to a Python worker, unless the session says otherwise: Spark's own default of 10,000 texts is
+#: held in the executor and the worker at once.
+BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
 
-    Other columns pass through untouched; an input column called like a made one is replaced.
+
+def arrow_mapped(docs: DataFrame, inputs: list[str], made: list[T.StructField], make: Callable[[list[pa.Array]], Iterable[tuple[int, int, list[pa.Array]]]]) -> DataFrame:
+    """``docs`` with the columns ``made``: ``make`` gets the columns ``inputs`` of a batch (texts as binary) and yields
+    (from, to, made arrays) for runs of its rows in order.
+
+    Other columns pass through untouched; an input column called like a made one is replaced. Each column travels once.
     """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     taken = {m.name.lower() for m in made}
     kept = [c for c in docs.columns if c.lower() not in taken]
+    plain = {f.name: isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.BooleanType)) for f in docs.schema.fields}
+    inside = [kept.index(c) if c in kept and plain[c] else -1 for c in inputs]
+    extra = [F.col(f"`{c}`") if plain[c] else F.col(f"`{c}`").cast("string") for c, at in zip(inputs, inside) if at < 0]
     row = F.struct(*[docs[f"`{c}`"] for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
-    given = docs.select(row.alias("__row"), *[x.alias(f"__in{i}") for i, x in enumerate(inputs)])
+    given = docs.select(row.alias("__row"), *[x.alias(f"__in{i}") for i, x in enumerate(extra)])
     names = ["__row", *[f"__out{i}" for i in range(len(made))]]
     schema = T.StructType([given.schema["__row"], *[T.StructField(n, m.dataType) for n, m in zip(names[1:], made)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, out in make(batch.columns[1:]):
+            fields, more = batch.column(0).flatten(), iter(batch.columns[1:])
+            given = [fields[at] if at >= 0 else next(more) for at in inside]
+            for a, b, out in make([x.cast(pa.binary()) if pa.types.is_string(x.type) else x for x in given]):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *out], names=names)
 
     out = given.mapInArrow(run, schema)
     return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in kept], *[F.col(n).alias(m.name) for n, m in zip(names[1:], made)])
 
 
+def texts_of(column: pa.Array) -> list[str | None]:
+    """The strings of a binary column of texts."""
+    return column.cast(pa.string()).to_pylist()
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker: functions sent by value have fresh globals in each task."""
     return sys.modules.setdefault("_driftfield_worker", types.ModuleType("_driftfield_worker")).__dict__.setdefault("cache", {})

@@ -28,6 +28,8 @@ SEED = 42
 PART = 1024
 #: Fingerprints that the tries of one partition hold on average.
 PER_TASK = 50_000
+#: Tables of full tries and cells of up to so many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
+BROADCAST = 100_000
 #: Links of a node that go on to an exact comparison where a trie has more.
 NEAREST = 6
 #: Node pairs below which leaves are compared directly.
@@ -106,7 +108,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, made: st
             marks = np.array([fingerprint(x, shingle) for x in columns[0].slice(a, b - a).to_pylist()], dtype=np.uint64)
             yield a, b, [pa.array(marks.view(np.int64))]
 
-    return arrow_mapped(docs, [F.col(f"`{text}`").cast("string").cast("binary")], [T.StructField(made, T.LongType())], make)
+    return arrow_mapped(docs, [text], [T.StructField(made, T.LongType())], make)
 
 
 def hexed(mark: Column) -> Column:
@@ -267,6 +269,20 @@ def _near_links(errors: int):
     return run
 
 
+def _full_tries(dealt: DataFrame, rows: int) -> DataFrame:
+    """``trie``, ``parts`` of the tries with more than ``PART`` rows.
+
+    Rows are first counted in coarse cells of tries, of which each task hands on few; only tries in cells that hold more
+    than ``PART`` rows are counted one by one.
+    """
+    cell = F.pmod(F.xxhash64(F.lit("cell"), "trie"), F.lit(max(1, 8 * rows // PART)))
+    cells = cut(dealt.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > PART).select("cell"))
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST else cells
+    near = dealt.withColumn("cell", cell).join(cells, "cell", "left_semi")
+    full = cut(near.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("trie", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    return F.broadcast(full) if full.count() <= BROADCAST else full
+
+
 def _dealt(marks: DataFrame, masks: list[tuple[int, int]], errors: int, run, columns: list[str], rows: int) -> DataFrame:
     """Deals (``mark``, ``sketch``, ...) to tries and runs the self-join in each partition.
 
@@ -276,7 +292,7 @@ def _dealt(marks: DataFrame, masks: list[tuple[int, int]], errors: int, run, col
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = F.array(*[F.xxhash64(F.lit(i), "sketch", mark.bitwiseAND(F.lit(signed(m)).cast("long"))) for m, i in masks])
     dealt = marks.select(*columns, F.explode(keys).alias("trie"))
-    full = dealt.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("trie", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    full = _full_tries(dealt, rows * len(masks))
     parts, own = F.coalesce("parts", F.lit(1)), F.pmod(F.xxhash64(F.lit("part"), *columns), F.coalesce("parts", F.lit(1)))
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.xxhash64("trie", F.least(own, x.cast("long")), F.greatest(own, x.cast("long"))))
     each = dealt.join(full, "trie", "left").select(F.when(parts == 1, F.array("trie")).otherwise(pairs).alias("tries"), *columns).select(F.explode("tries").alias("trie"), *columns)
@@ -359,19 +375,19 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
         for a, b in slices(byte_sizes(batch[0]), 4 << 20):
             yield a, b, [pa.array([np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in batch[0].slice(a, b - a).to_pylist()], pa.list_(pa.int64()))]
 
-    source = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__id"))
-    binary = [F.col("__text").cast("binary")]
-    kept = written(arrow_mapped(source, binary, made, make), "signatures")
+    rest = [c for c in columns if c != text]
+    source = docs.select(F.struct(*[docs[f"`{c}`"] for c in rest], F.lit(0).alias("__none")).alias("__rest"), F.col(f"`{text}`").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__id"))
+    kept = written(arrow_mapped(source, ["__text"], made, make), "signatures")
     nodes = cut(kept.groupBy("__words").agg(F.min(F.struct("__id", "__marks")).alias("m")).select(F.col("m.__id").alias("node"), F.col("m.__marks").alias("marks")))
     n = nodes.count()
     each = nodes.select("node", F.posexplode("marks").alias("sketch", "mark"))
     found = cut(_dealt(each, choices(errors, n), errors, _near_links, ["mark", "node"], n * sketches))
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    sets = arrow_mapped(kept.join(ends, kept["__id"] == ends["node"]).select("node", "__text"), binary, [T.StructField("set", T.ArrayType(T.LongType()))], hashed).select("node", "set")
+    sets = arrow_mapped(kept.join(ends, kept["__id"] == ends["node"]).select("node", "__text"), ["__text"], [T.StructField("set", T.ArrayType(T.LongType()))], hashed).select("node", "set")
     sets = cut(sets)
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     near = found.join(left, "a").join(right, "b").where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
     gone = components(near).where("node <> root").select(F.col("node").alias("__gone"))
     stay = nodes.join(gone, nodes["node"] == gone["__gone"], "left_anti").select("node")
-    return kept.join(stay, kept["__id"] == stay["node"], "left_semi").select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])
+    return kept.join(stay, kept["__id"] == stay["node"], "left_semi").select(*[F.col("__text" if c == text else f"__rest.`{c}`").alias(c) for c in columns])

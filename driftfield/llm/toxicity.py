@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, slices, worker_cache
+from driftfield.llm.shared import arrow_mapped, byte_sizes, slices, texts_of, worker_cache
 
 #: Bounds of the sample that is fitted on: so many positives and unlabelled texts at most, by the order of a hash of their ids.
 POSITIVES, UNLABELLED = 20_000, 40_000
@@ -64,9 +64,10 @@ def _margins(rows: np.ndarray, which: np.ndarray, n: int, w: np.ndarray, b: floa
     return np.bincount(which, weights=w[rows], minlength=n) + b
 
 
-def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features: int, prior: float, steps: int = 400, rate: float = 0.2, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features: int, prior: float, steps: int = 400, rate: float = 0.2, decay: float = 2e-5, few: float = 0.02) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative PU risk under the logistic loss, by Adam over the whole sample.
 
+    Steps shrink to nothing, and weights are held the closer to zero the fewer positives there are.
     Without positives every text gets the prior as its score.
     """
     prior = min(max(prior, 1e-3), 0.999)
@@ -74,6 +75,7 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features:
     if not positive or not unlabelled:
         return w, b
     flat = [(np.array([i for r in rows for i in r], dtype=np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)) for rows in (positive, unlabelled)]
+    decay += few / len(positive)
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for step in range(1, steps + 1):
@@ -86,7 +88,7 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features:
         g = plus + rest if negative_risk >= 0 else -rest
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        move = rate * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
     return w, b
 
@@ -107,9 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def named(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         for a, b in slices(byte_sizes(columns[0]), 1 << 20):
-            yield a, b, [pa.array([list(text_features(x)) for x in columns[0].slice(a, b - a).to_pylist()], pa.list_(pa.string()))]
+            yield a, b, [pa.array([list(text_features(x)) for x in texts_of(columns[0].slice(a, b - a))], pa.list_(pa.string()))]
 
-    made = arrow_mapped(sample, [F.col("t")], [T.StructField("f", T.ArrayType(T.StringType()))], named).select("positive", "unlabelled", F.explode("f").alias("f"))
+    made = arrow_mapped(sample, ["t"], [T.StructField("f", T.ArrayType(T.StringType()))], named).select("positive", "unlabelled", F.explode("f").alias("f"))
     counts = made.groupBy("f").agg(F.sum(F.col("positive").cast("long")).alias("np"), F.sum(F.col("unlabelled").cast("long")).alias("nu"))
     size = ids.agg(F.sum(F.col("positive").cast("double")).alias("a"), F.sum(F.col("unlabelled").cast("double")).alias("b")).first()
     if not size["a"] or not size["b"]:
@@ -159,9 +161,9 @@ def present(docs: DataFrame, features: list[str], text: str = "text", made: str
     def make(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         found = _finder(features, key)
         for a, b in slices(byte_sizes(columns[0]), 4 << 20):
-            yield a, b, [pa.array([found(x) for x in columns[0].slice(a, b - a).to_pylist()], pa.list_(pa.int32()))]
+            yield a, b, [pa.array([found(x) for x in texts_of(columns[0].slice(a, b - a))], pa.list_(pa.int32()))]
 
-    return arrow_mapped(docs, [F.col(f"`{text}`").cast("string")], [T.StructField(made, T.ArrayType(T.IntegerType()))], make)
+    return arrow_mapped(docs, [text], [T.StructField(made, T.ArrayType(T.IntegerType()))], make)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", made: str = "score") -> DataFrame:
@@ -175,6 +177,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text", made: str = "score
     def make(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         found = _finder(model.features, key)
         for a, b in slices(byte_sizes(columns[0]), 4 << 20):
-            yield a, b, [pa.array(model.scores([found(x) for x in columns[0].slice(a, b - a).to_pylist()]), pa.float64())]
+            yield a, b, [pa.array(model.scores([found(x) for x in texts_of(columns[0].slice(a, b - a))]), pa.float64())]
 
-    return arrow_mapped(docs, [F.col(f"`{text}`").cast("string")], [T.StructField(made, T.DoubleType())], make)
+    return arrow_mapped(docs, [text], [T.StructField(made, T.DoubleType())], make)
