@@ -30,8 +30,10 @@ PART = 1024
 PER_TASK = 50_000
 #: Tables of full tries and cells of up to so many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST = 100_000
+#: Edges that a task contracts on its own before the rounds over tables.
+EDGES_PER_TASK = 200_000
 #: Links of a node that go on to an exact comparison where a trie has more.
-NEAREST = 6
+NEAREST = 4
 #: Node pairs below which leaves are compared directly.
 DIRECT = 64
 
@@ -309,13 +311,26 @@ def links(marks: DataFrame, errors: int = 4, column: str = "fingerprint") -> Dat
     return _dealt(marks.select(F.col(column).alias("mark"), F.lit(0).alias("sketch")), choices(errors, n), errors, _forest_links, ["mark"], n)
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars: each node with the smallest one that the task's own edges reach."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        u, v = (np.concatenate(x) for x in zip(*parts))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        forest = Forest(nodes.size)
+        forest.join(at[: u.size], at[u.size :])
+        tied = np.flatnonzero(forest.root != np.arange(nodes.size))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[forest.root[tied]])], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (smallest node reachable) for every node of ``a``-``b`` edges, by alternating star contractions.
 
-    A round replaces the edges: large stars tie greater neighbours, small stars smaller ones, to the smallest. Both are
+    Each task first contracts its own edges; what is left is a few rounds. A round replaces the edges: large stars tie greater neighbours, small stars smaller ones, to the smallest. Both are
     a grouped minimum and a join, so that a node with a third of all edges is pre-aggregated and its join can be split.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = cut(edges.coalesce(max(1, edges.count() // EDGES_PER_TASK)).mapInArrow(_contracted, "u long, v long"))
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -349,7 +364,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     smaller than none: it names a component only if no other id does. An empty table gives an empty result.
     """
     marked = cut(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", shingle).drop("text"))
-    return marked.join(classes(marked, errors=errors), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return marked.join(cut(classes(marked, errors=errors)), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, sketches: int = 8, errors: int = 7) -> DataFrame:
