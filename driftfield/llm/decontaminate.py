@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, slices, worker_cache
+from driftfield.llm.shared import arrow_mapped, byte_sizes, slices, worker_tool
 
 WINDOW, BLOCK = 8, 2
 #: Words on the UTF-8 bytes of a text: digits, a-z (after lower-casing A-Z) and everything beyond ASCII.
@@ -131,11 +131,8 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
         sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part))
 
         def make(columns: list[pa.Array], sent=sent) -> Iterator[tuple[int, int, list[pa.Array]]]:
-            cache = worker_cache()
             key, items = sent.value
-            if cache.get("patterns", ("",))[0] != key:
-                cache["patterns"] = (key, Patterns(items))
-            patterns = cache["patterns"][1]
+            patterns = worker_tool(f"patterns-{key}", lambda: Patterns(items))
             for a, b in slices(byte_sizes(columns[0]), 4 << 20):
                 rows = []
                 for x, old, known, whole in zip(*[c.slice(a, b - a).to_pylist() for c in columns]):

@@ -133,6 +133,11 @@ def texts_of(column: pa.Array) -> list[str | None]:
     return column.cast(pa.string()).to_pylist()
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker: functions sent by value have fresh globals in each task."""
-    return sys.modules.setdefault("_driftfield_worker", types.ModuleType("_driftfield_worker")).__dict__.setdefault("cache", {})
+def worker_tool(key: str, build: Callable[[], object]):
+    """What ``build`` makes, kept in the Python worker until another key is asked for: functions sent by value have fresh
+    globals in each task, and tools of several stages at once would only take memory."""
+    cache = sys.modules.setdefault("_driftfield_worker", types.ModuleType("_driftfield_worker")).__dict__
+    if cache.get("key") != key:
+        cache.pop("tool", None)
+        cache["tool"], cache["key"] = build(), key
+    return cache["tool"]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, slices, texts_of, worker_cache
+from driftfield.llm.shared import arrow_mapped, byte_sizes, slices, texts_of, worker_tool
 
 #: Bounds of the sample that is fitted on: so many positives and unlabelled texts at most, by the order of a hash of their ids.
 POSITIVES, UNLABELLED = 20_000, 40_000
@@ -101,8 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n, prior = known.agg(F.count("*"), F.avg(F.col("y").cast("double"))).first()
     if not n:
         return Model([], np.zeros(0), 0.0)
-    drawn = lambda df, most, mark: df.select("i", F.lit(mark).alias("p"), F.xxhash64(F.lit("draw"), "i").alias("h")).orderBy("h", "i").limit(most)
-    ids = drawn(known.where("y = 1"), positives, True).union(drawn(docs.select(i.alias("i")).where("i IS NOT NULL").where(~held_out(F.col("i"))), unlabelled, False))
+    # A cut at the hash that about ``most`` rows lie below keeps what each task sorts and sends in proportion.
+    share = lambda most, rows: F.lit(min((1 << 63) - 1, int(((2 * (1.2 * most + 100) / max(1, rows)) - 1) * (1 << 63))))
+    drawn = lambda df, most, mark, rows: df.select("i", F.lit(mark).alias("p"), F.xxhash64(F.lit("draw"), "i").alias("h")).where(F.col("h") <= share(most, rows)).orderBy("h", "i").limit(most)
+    rows = docs.count()
+    ids = drawn(known.where("y = 1"), positives, True, n * prior).union(drawn(docs.select(i.alias("i")).where("i IS NOT NULL").where(~held_out(F.col("i"))), unlabelled, False, 0.8 * rows))
     ids = ids.groupBy("i").agg(F.max("p").alias("positive"), F.max(~F.col("p")).alias("unlabelled"))
     # At most positives + unlabelled ids, hence a known bound.
     sample = docs.select(i.alias("i"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(ids), "i")
@@ -128,10 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def _finder(features: list[str], key: str):
     """From a text to the places of its features in ``features``."""
-    cache = worker_cache()
-    if cache.get("toxicity", ("",))[0] != key:
-        cache["toxicity"] = (key, {f: k for k, f in enumerate(features)}, {})
-    _, at, known = cache["toxicity"]
+    at, known = worker_tool(f"toxicity-{key}", lambda: ({f: k for k, f in enumerate(features)}, {}))
 
     def found(text: str | None) -> list[int]:
         out: set[int] = set()
