@@ -21,12 +21,14 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 10",
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
     "many_symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "n_dup_lines >= 2 AND 100 * n_dup_lines > 30 * n_lines",
     "short_or_long_words": "word_chars < 2 * n_words OR word_chars > 16 * n_words",
+    "stuttering": "100 * n_stutters > 30 * n_words",
 }
 #: Versioned policies: the rules that a text must not fail.
 POLICIES: dict[str, tuple[str, ...]] = {"base": ("few_words", "repeated_windows"), "v1": tuple(RULES)}
-LEDGER = [*MEASURES, "n_lines", "failed_bits"]
+#: Measures besides: lines with a word, and words equal to the one before.
+LEDGER = [*MEASURES, "n_lines", "n_stutters", "failed_bits"]
 
 
 def mask(rules: Iterable[str]) -> int:
@@ -53,13 +55,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     hashes = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
     t = t.select(
         "__row", "w", hashes.alias("h"), n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.size(F.filter(F.transform("w", lambda x, i: (i > 0) & (F.get("w", i - 1) == x)), lambda b: b)).cast("long").alias("n_stutters"),
         F.size("l").cast("long").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
     )
     # Most texts repeat no window: a set of hashes tells. For others, equal hashes are confirmed on the windows' words.
     t = t.withColumn("c", F.when(F.size(F.array_distinct("h")) < F.size("h"), _repeated(F.transform("h", lambda x, i: F.struct(x.alias("k"), i.alias("p"))))))
     t = t.withColumn("p", F.when(F.col("c").isNotNull(), _repeated(F.transform("c", lambda i: F.struct(F.array_join(F.slice(w, i + 1, WINDOW), " ").alias("k"), i.alias("p"))))))
     covered = F.aggregate("p", F.struct(F.lit(0).alias("c"), F.lit(-WINDOW).alias("e")), lambda a, x: F.struct((a["c"] + F.least(F.lit(WINDOW), x - a["e"])).alias("c"), x.alias("e")), lambda a: a["c"])
-    return t.select("__row", *[m for m in MEASURES if m != "n_repeat_words"], "n_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return t.select("__row", *[m for m in MEASURES if m != "n_repeat_words"], "n_lines", "n_stutters", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
