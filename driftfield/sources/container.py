@@ -277,12 +277,17 @@ def bins(recs: DataFrame) -> DataFrame:
 
 
 def gaussians(recs: DataFrame) -> DataFrame:
-    """Elements of the scenes in real units: bins, joined with their file's grid, header and window, by column arithmetic.
+    """Elements of the scenes in real units; a window index that the table lacks gives no row here, see ``faults``."""
+    return dequantized(bins(recs).where("fault IS NULL"), recs, ["chunk", "row"])
 
-    Grids, headers and windows are a few rows a file. A window index that the table lacks gives no row here; see ``faults``.
+
+def dequantized(b: DataFrame, recs: DataFrame, keep: list[str]) -> DataFrame:
+    """Bins in real units: joined with their file's grid, header and window, by column arithmetic.
+
+    Grids, headers and windows are a few rows a file.
     """
     head, grid = headers(recs).select("path", "cutoff"), grids(recs)
-    b = bins(recs).where("fault IS NULL").join(head, "path").join(grid, "path")
+    b = b.join(head, "path").join(grid, "path")
     table = windows(recs).select("path", F.col("idx").alias("b_window_index"), "lo", "hi")
     b = b.join(table, ["path", "b_window_index"])
     never = F.col("b_flags") != 0
@@ -301,7 +306,7 @@ def gaussians(recs: DataFrame) -> DataFrame:
     made |= {n: unit(c.cast("double") * F.col("rgb")) for n, c in (("r", red), ("g", green), ("b", blue))} | {"a": unit(F.col("b_opacity").cast("double") * F.col("alpha"))}
     made |= {f"v{x}": F.col(f"b_motion_{k}").cast("double") * F.col("motion_step") for k, x in enumerate("xyz")}
     made |= {"mu_t": F.col("b_mu_t").cast("double") * F.col("mu_step"), "sigma_t": F.when(F.col("b_flags") != 0, F.lit(float("inf"))).otherwise(F.col("sigma")), "win_lo": F.col("lo"), "win_hi": F.col("hi"), "object_id": F.coalesce(D.to_unsigned32(F.col("b_object_id")), F.lit(0).cast("long")), "source_index": F.col("b_source_index")}
-    return b.select("path", "chunk", "row", *[c.alias(n) for n, c in made.items()])
+    return b.select("path", *keep, *[c.alias(n) for n, c in made.items()])
 
 
 def faults(recs: DataFrame) -> DataFrame:
@@ -314,11 +319,11 @@ def faults(recs: DataFrame) -> DataFrame:
     )
 
 
-def _string(x: str) -> bytes:
+def put_string(x: str) -> bytes:
     return struct.pack("<I", len(x.encode())) + x.encode()
 
 
-def _record(kind: str, content: bytes) -> bytes:
+def put_record(kind: str, content: bytes) -> bytes:
     return struct.pack(RECORD, OPCODES[kind], len(content)) + content
 
 
@@ -364,25 +369,25 @@ def write(g: DataFrame, path: str, duration: float, profile: str = "default", cu
             if cols[0] in order:
                 out += coded(i, order[cols].to_numpy())
         lo, hi = float(pdf["win_lo"].iloc[0]), float(pdf["win_hi"].iloc[0])
-        content = struct.pack("<ddII", lo, hi, 0, len(pdf)) + _string("") + struct.pack("<QQ", len(out), len(out)) + out
+        content = struct.pack("<ddII", lo, hi, 0, len(pdf)) + put_string("") + struct.pack("<QQ", len(out), len(out)) + out
         return pd.DataFrame({"t0": [lo], "t1": [hi], "part": [int(key[1])], "n": [len(pdf)], "content": [content]})
 
     chunks = rows.groupBy("b_window_index", "part").applyInPandas(code, "t0 double, t1 double, part long, n long, content binary")
     aabb = [float(s[f"lo{x}"] or 0.0) for x in "xyz"] + [float(s[f"hi{x}"] or 0.0) for x in "xyz"]
-    head = _string(profile) + _string(library) + struct.pack("<dQd", duration, s["n"], cutoff) + _string("gaussian-birth") + struct.pack("<6dBB", *aabb, 0, 0) + struct.pack("<I", 0)
-    grid = _string("scalar") + struct.pack("<11dB", *origin, *[step[k] for k in ("pos", "scale_log", "rot", "rgb", "alpha", "motion", "time", "sigma_log")], step["sh"]) + struct.pack("<I", 0)
-    front = MAGIC + _record("Header", head) + _record("Quantization", grid) + _record("WindowTable", struct.pack("<I", len(sizes)) + b"".join(struct.pack("<dd", r["win_lo"], r["win_hi"]) for r in sizes))
+    head = put_string(profile) + put_string(library) + struct.pack("<dQd", duration, s["n"], cutoff) + put_string("gaussian-birth") + struct.pack("<6dBB", *aabb, 0, 0) + struct.pack("<I", 0)
+    grid = put_string("scalar") + struct.pack("<11dB", *origin, *[step[k] for k in ("pos", "scale_log", "rot", "rgb", "alpha", "motion", "time", "sigma_log")], step["sh"]) + struct.pack("<I", 0)
+    front = MAGIC + put_record("Header", head) + put_record("Quantization", grid) + put_record("WindowTable", struct.pack("<I", len(sizes)) + b"".join(struct.pack("<dd", r["win_lo"], r["win_hi"]) for r in sizes))
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
     at, entries = len(front), b""
     try:
         out.write(bytearray(front))
         for r in chunks.orderBy("t0", "t1", "part").toLocalIterator():
-            block = _record("Chunk", bytes(r["content"]))
+            block = put_record("Chunk", bytes(r["content"]))
             out.write(bytearray(block))
-            entries += _record("ChunkIndex", struct.pack("<ddQQII", r["t0"], r["t1"], at, len(block), r["n"], 0))
+            entries += put_record("ChunkIndex", struct.pack("<ddQQII", r["t0"], r["t1"], at, len(block), r["n"], 0))
             at += len(block)
-        footer = _record("Footer", struct.pack("<QQI", at, 0, zlib.crc32(entries)))
+        footer = put_record("Footer", struct.pack("<QQI", at, 0, zlib.crc32(entries)))
         out.write(bytearray(entries + footer + MAGIC))
     finally:
         out.close()

@@ -28,9 +28,9 @@ def recs(spark, tmp_path_factory):
     table = struct.pack("<IH", 2, 2) + struct.pack("<I", 1) + R._put("s", "car") + struct.pack("<3fB9fB2f", 1, 2, 3, 1, *range(9), 1, 0.5, 0.25) + struct.pack("<I", 2) + R._put("s", "cat") + struct.pack("<3fBB", 0, 0, 0, 0, 0)
     bands = np.arange(18).reshape(2, 9)
     parts = [
-        C._record("Chunk", b"first"), C._record("ShBandStream", b"\x01" + C.coded(7, bands)), C._record("ShBandStream", b"\x02" + C.coded(7, np.zeros((2, 15), dtype=int))), C._record("Chunk", b"second"), C._record("ShBandStream", b"\x01" + C.coded(7, bands + 1)),
+        C.put_record("Chunk", b"first"), C.put_record("ShBandStream", b"\x01" + C.coded(7, bands)), C.put_record("ShBandStream", b"\x02" + C.coded(7, np.zeros((2, 15), dtype=int))), C.put_record("Chunk", b"second"), C.put_record("ShBandStream", b"\x01" + C.coded(7, bands + 1)),
         R.encoded("Metadata", ["m", {"a": "b"}]), R.encoded("ObjectTrack", [7, 0], [[0.0, 0, 0, 0, 1, 0, 0, 0], [10.0, 0, 0, half, half, 2, 0, 0]]), R.encoded("ObjectTrack", [8, 1], [[0.0, 0, 0, 0, 1, 5, 0, 0]]),
-        R.encoded("SensorCalibration", ["cam", "camera", 0, 640, 480, 1.0, 1.0, 0.5, 0.5, 0, 0, 0, 1, 0, 0, 0, 1, "rig"], [[0.1], [0.2]]), C._record("ObjectTable", table),
+        R.encoded("SensorCalibration", ["cam", "camera", 0, 640, 480, 1.0, 1.0, 0.5, 0.5, 0, 0, 0, 1, 0, 0, 0, 1, "rig"], [[0.1], [0.2]]), C.put_record("ObjectTable", table),
     ]
     path = tmp_path_factory.mktemp("records") / "scene.bin"
     path.write_bytes(C.MAGIC + b"".join(parts))
