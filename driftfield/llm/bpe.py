@@ -16,6 +16,7 @@ import json
 import mmap
 import re
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, shared_dir, slices, texts_of, worker_cache
+from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, shared_dir, slices, texts_of, worker_tool
 
 #: Fixed value: the pattern that cuts a text into words before any merge.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,10 +41,12 @@ NEWER = (
     "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 "
     "1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
 )
-#: At most so many words are compiled (about 3 MB of automaton); rarer ones are merged when met.
-LEXICON_WORDS = 100_000
+#: At most so many words are compiled (about 9 MB of automaton); rarer ones are merged when met.
+LEXICON_WORDS = 200_000
 #: Merged words that a worker remembers before it starts afresh.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
+#: Distinct words that a task counts before it hands its counts on.
+COUNTED = 100_000
 #: Text bytes that are handled at once.
 SLICE_BYTES = 1 << 18
 
@@ -139,6 +142,8 @@ class Lexicon:
             while len(path) > depth + 1:
                 state = path.pop()
                 same = known.setdefault((final[state], tuple(edges[state].items())), state)
+                if same != state:
+                    edges[state] = None  # an equal state exists
                 edges[path[-1]][last[len(path) - 1]] = same
 
         for word in order:
@@ -325,8 +330,27 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORD
     Words are counted on the cluster. The driver sees how many words have each count, which gives the least count that
     fits, and then those words alone.
     """
-    word = F.explode(F.split(F.col(f"`{text}`"), r"[^\p{L}]+")).alias("word")
-    counts = cut(docs.select(word).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, seen = re.compile(r"[^\W\d_]+"), Counter()
+
+        def out() -> pa.RecordBatch:
+            words: dict[str, int] = {}
+            for token, n in seen.items():  # tokens between blanks are many times fewer once they are distinct
+                for w in letters.findall(token):
+                    words[w] = words.get(w, 0) + n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                seen.update(x.split())
+                if len(seen) > COUNTED:
+                    yield out()
+        yield out()
+
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
+    counts = cut(texts.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     # One row for each length of a count in bits and its three leading ones: a few hundred however large the corpus is.
     step = F.floor(F.log2("n") * 8)
     sizes = sorted(((r["s"], r["w"], r["low"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("w"), F.min("n").alias("low")).collect()), reverse=True)
@@ -359,8 +383,8 @@ class Codec:
 
     def tools(self) -> tuple[Encoder, Decoder]:
         """Made once in a Python worker for each lexicon."""
-        cache = worker_cache()
-        if cache.get("codec", ("",))[0] != self.path:
+
+        def build() -> tuple[Encoder, Decoder]:
             text, blob = self.parts.value
             merges = Merges(text)
             if blob is None:
@@ -369,8 +393,9 @@ class Codec:
                 area = mmap.mmap(-1, len(blob))
                 area.write(blob)
                 lexicon = Lexicon.over(area)
-            cache["codec"] = (self.path, Encoder(merges, lexicon), Decoder(merges))
-        return cache["codec"][1:]
+            return Encoder(merges, lexicon), Decoder(merges)
+
+        return worker_tool(self.path, build)
 
 
 def encode(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") -> DataFrame:
