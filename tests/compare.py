@@ -1,12 +1,13 @@
 """Spark results against DuckDB on the same tables, order aside."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def value(x):
-    if x is None or x != x:
+    if not isinstance(x, (list, tuple)) and not hasattr(x, "__len__") and pd.isna(x):
         return "~"
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return str(bool(x))
