@@ -48,7 +48,7 @@ REMEMBERED = 400_000
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 100_000
 #: Text bytes that are handled at once.
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 19
 
 
 def _byte_chars() -> dict[str, int]:
@@ -259,7 +259,8 @@ class Encoder:
             w = words[i]
             ids = self.merged.get(w)
             if ids is None:
-                ids = self.merged[w] = [self.merges.special[w[1:]]] if w[0] == "\0" and w[1:] in self.merges.special else self.merges.word(raw[i])
+                # A tuple of numbers is nothing that the garbage collector has to look through.
+                ids = self.merged[w] = (self.merges.special[w[1:]],) if w[0] == "\0" and w[1:] in self.merges.special else tuple(self.merges.word(raw[i]))
             out[i] = ids
             lens[i] = len(ids)
         begin = np.cumsum(lens) - lens
@@ -273,7 +274,7 @@ class Encoder:
         """Ids of all texts, one after the other, and how many each has."""
         lists = [self.words(t, self.pieces) for t in texts]
         seen = dict.fromkeys(chain.from_iterable(lists), 0)
-        if self.newer.search("".join(seen)):
+        if self.newer.search("".join(w for w in seen if not w.isascii())):
             lists = [self.words(t, self.older) if self.newer.search(t) else words for t, words in zip(texts, lists)]
             seen = dict.fromkeys(chain.from_iterable(lists), 0)
         for i, w in enumerate(seen):
