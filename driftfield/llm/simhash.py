@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, slices, written
 
 SEED = 42
-#: Fingerprints of one trie; fuller ones are cut into parts of about so many.
-PART = 1024
+#: Fingerprints of the parts that a full trie is cut into; and of the tries that near copies leave whole.
+PART, WHOLE = 1024, 4096
+#: Links of one trie that are held before they are thinned.
+HELD = 1 << 21
 #: Fingerprints that the tries of one partition hold on average.
 PER_TASK = 50_000
 #: Tables of full tries and cells of up to so many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
@@ -33,7 +35,7 @@ BROADCAST = 100_000
 #: Edges that a task contracts on its own before the rounds over tables.
 EDGES_PER_TASK = 200_000
 #: Links of a node that go on to an exact comparison where a trie has more.
-NEAREST = 4
+NEAREST = 2
 #: Node pairs below which leaves are compared directly.
 DIRECT = 64
 
@@ -239,8 +241,19 @@ def _forest_links(errors: int):
     return run
 
 
+def _nearest(mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links of each row those to its nearest ones; of equally near ones to the first."""
+    apart = np.bitwise_count(mark[a] ^ mark[b])
+    one, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
+    order = np.lexsort((other, d, one))
+    one, other = one[order], other[order]
+    first = np.concatenate([[0], np.flatnonzero(one[1:] != one[:-1]) + 1])
+    rank = np.arange(one.size) - np.repeat(first, np.diff(np.concatenate([first, [one.size]])))
+    return one[rank < NEAREST], other[rank < NEAREST]
+
+
 def _near_links(errors: int):
-    """Links between nodes: all of a trie if they are few, else those to the nearest of each node and to its first ones."""
+    """Links between nodes: all of a run of tries if they are few, else those to the nearest of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (got := _read(batches)) is None:
@@ -253,48 +266,49 @@ def _near_links(errors: int):
             upto = max(at + 1, int(np.searchsorted(ends, begins[at] + 2 * PART, side="right")))
             lo, hi = begins[at], ends[upto - 1]
             at = upto
-            found = list(trie_links(trie[lo:hi], mark[lo:hi], errors))
-            if not found:
+            held, size = [], 0
+            for pair in trie_links(trie[lo:hi], mark[lo:hi], errors):
+                held.append(pair)
+                size += pair[0].size
+                if size > HELD:
+                    held = [_nearest(mark[lo:hi], *(np.concatenate(x) for x in zip(*held)))]
+                    size = held[0][0].size
+            if not held:
                 continue
-            a, b = (np.concatenate(x) + lo for x in zip(*found))
+            a, b = (np.concatenate(x) for x in zip(*held))
             if a.size > NEAREST * (hi - lo):
-                apart = np.bitwise_count(mark[a] ^ mark[b])
-                one, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
-                order = np.lexsort((other, d, one))
-                one, other = one[order], other[order]
-                first = np.concatenate([[0], np.flatnonzero(one[1:] != one[:-1]) + 1])
-                rank = np.arange(one.size) - np.repeat(first, np.diff(np.concatenate([first, [one.size]])))
-                a, b = one[rank < NEAREST], other[rank < NEAREST]
+                a, b = _nearest(mark[lo:hi], a, b)
+            a, b = a + lo, b + lo
             a, b = node[a], node[b]
             yield _edges(np.maximum(a, b)[a != b], np.minimum(a, b)[a != b])
 
     return run
 
 
-def _full_tries(dealt: DataFrame, rows: int) -> DataFrame:
-    """``trie``, ``parts`` of the tries with more than ``PART`` rows.
+def _full_tries(dealt: DataFrame, rows: int, most: int) -> DataFrame:
+    """``trie``, ``parts`` of the tries with more than ``most`` rows.
 
     Rows are first counted in coarse cells of tries, of which each task hands on few; only tries in cells that hold more
-    than ``PART`` rows are counted one by one.
+    than ``most`` rows are counted one by one.
     """
-    cell = F.pmod(F.xxhash64(F.lit("cell"), "trie"), F.lit(max(1, 8 * rows // PART)))
-    cells = cut(dealt.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > PART).select("cell"))
+    cell = F.pmod(F.xxhash64(F.lit("cell"), "trie"), F.lit(max(1, 8 * rows // most)))
+    cells = cut(dealt.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("cell"))
     cells = F.broadcast(cells) if cells.count() <= BROADCAST else cells
     near = dealt.withColumn("cell", cell).join(cells, "cell", "left_semi")
-    full = cut(near.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("trie", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    full = cut(near.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > most).select("trie", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
     return F.broadcast(full) if full.count() <= BROADCAST else full
 
 
-def _dealt(marks: DataFrame, masks: list[tuple[int, int]], errors: int, run, columns: list[str], rows: int) -> DataFrame:
+def _dealt(marks: DataFrame, masks: list[tuple[int, int]], errors: int, run, columns: list[str], rows: int, most: int) -> DataFrame:
     """Deals (``mark``, ``sketch``, ...) to tries and runs the self-join in each partition.
 
-    Tries of more than ``PART`` rows are cut: a row goes to the part that a hash names, and each pair of parts is a trie.
+    Tries of more than ``most`` rows are cut: a row goes to the part that a hash names, and each pair of parts is a trie.
     """
     mark = F.col("mark")
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = F.array(*[F.xxhash64(F.lit(i), "sketch", mark.bitwiseAND(F.lit(signed(m)).cast("long"))) for m, i in masks])
     dealt = marks.select(*columns, F.explode(keys).alias("trie"))
-    full = _full_tries(dealt, rows * len(masks))
+    full = _full_tries(dealt, rows * len(masks), most)
     parts, own = F.coalesce("parts", F.lit(1)), F.pmod(F.xxhash64(F.lit("part"), *columns), F.coalesce("parts", F.lit(1)))
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.xxhash64("trie", F.least(own, x.cast("long")), F.greatest(own, x.cast("long"))))
     each = dealt.join(full, "trie", "left").select(F.when(parts == 1, F.array("trie")).otherwise(pairs).alias("tries"), *columns).select(F.explode("tries").alias("trie"), *columns)
@@ -308,7 +322,7 @@ def links(marks: DataFrame, errors: int = 4, column: str = "fingerprint") -> Dat
     ``marks`` has each fingerprint once. Every pair is compared in some trie; no pair is lost to a cap.
     """
     n = marks.count()
-    return _dealt(marks.select(F.col(column).alias("mark"), F.lit(0).alias("sketch")), choices(errors, n), errors, _forest_links, ["mark"], n)
+    return _dealt(marks.select(F.col(column).alias("mark"), F.lit(0).alias("sketch")), choices(errors, n), errors, _forest_links, ["mark"], n, PART)
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +410,7 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     nodes = cut(kept.groupBy("__words").agg(F.min(F.struct("__id", "__marks")).alias("m")).select(F.col("m.__id").alias("node"), F.col("m.__marks").alias("marks")))
     n = nodes.count()
     each = nodes.select("node", F.posexplode("marks").alias("sketch", "mark"))
-    found = cut(_dealt(each, choices(errors, n), errors, _near_links, ["mark", "node"], n * sketches))
+    found = cut(_dealt(each, choices(errors, n), errors, _near_links, ["mark", "node"], n * sketches, WHOLE))
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
     sets = arrow_mapped(kept.join(ends, kept["__id"] == ends["node"]).select("node", "__text"), ["__text"], [T.StructField("set", T.ArrayType(T.LongType()))], hashed).select("node", "set")
     sets = cut(sets)
