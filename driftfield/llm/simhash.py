@@ -34,8 +34,8 @@ PER_TASK = 50_000
 BROADCAST = 100_000
 #: Edges that a task contracts on its own before the rounds over tables.
 EDGES_PER_TASK = 200_000
-#: Links of a node that go on to an exact comparison where a trie has more.
-NEAREST = 2
+#: Links of a node that go on to an exact comparison where tries have more than ``FEW`` for each row.
+NEAREST, FEW = 1, 1
 #: Node pairs below which leaves are compared directly.
 DIRECT = 64
 
@@ -276,7 +276,7 @@ def _near_links(errors: int):
             if not held:
                 continue
             a, b = (np.concatenate(x) for x in zip(*held))
-            if a.size > NEAREST * (hi - lo):
+            if a.size > FEW * (hi - lo):
                 a, b = _nearest(mark[lo:hi], a, b)
             a, b = a + lo, b + lo
             a, b = node[a], node[b]
