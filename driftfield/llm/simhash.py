@@ -11,31 +11,33 @@ of the links it finds, never all pairs; components then come from alternating st
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, slices, written
+from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, shared_dir, slices, written
 
 SEED = 42
 #: Fingerprints of the parts that a full trie is cut into; and of the tries that near copies leave whole.
 PART, WHOLE = 1024, 4096
-#: Links of one trie that are held before they are thinned.
-HELD = 1 << 21
 #: Fingerprints that the tries of one partition hold on average.
 PER_TASK = 50_000
 #: Tables of full tries and cells of up to so many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST = 100_000
 #: Edges that a task contracts on its own before the rounds over tables.
 EDGES_PER_TASK = 200_000
-#: Links of a node that go on to an exact comparison where tries have more than ``FEW`` for each row.
-NEAREST, FEW = 1, 1
+#: Candidates that are looked at together, hashes of sets that are held together, and pairs below the similarity that a task remembers.
+PAIRS, HASHES, BELOW = 1 << 16, 1 << 21, 1 << 22
+#: Texts whose shingles tell which ones are common, and how many common ones are told apart. Both shorten the work only.
+SAMPLE, COMMON = 8192, 200_000
 #: Node pairs below which leaves are compared directly.
 DIRECT = 64
 
@@ -241,46 +243,157 @@ def _forest_links(errors: int):
     return run
 
 
-def _nearest(mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links of each row those to its nearest ones; of equally near ones to the first."""
-    apart = np.bitwise_count(mark[a] ^ mark[b])
-    one, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
-    order = np.lexsort((other, d, one))
-    one, other = one[order], other[order]
-    first = np.concatenate([[0], np.flatnonzero(one[1:] != one[:-1]) + 1])
-    rank = np.arange(one.size) - np.repeat(first, np.diff(np.concatenate([first, [one.size]])))
-    return one[rank < NEAREST], other[rank < NEAREST]
+class Sets:
+    """Sorted sets of hashes in files of the shared folder, read by place.
 
+    A place is the partition, batch and first word of a set, so places follow the order of rows. A task that is run again
+    writes the same files, as its rows come in the same order.
+    """
 
-def _near_links(errors: int):
-    """Links between nodes: all of a run of tries if they are few, else those to the nearest of each node."""
+    def __init__(self, spark):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/sets-{uuid.uuid4().hex}")
+        uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+        self.uri = f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+        self.open, self.at = {}, None
+
+    def __getstate__(self):
+        return {"uri": self.uri, "open": {}, "at": None}
+
+    def _folder(self):
+        from pyarrow import fs
+
+        if self.at is None:
+            self.at = fs.FileSystem.from_uri(self.uri)
+        return self.at
+
+    def write(self, partition: int, batch: int, sets: list[np.ndarray]) -> np.ndarray:
+        """Places of the sets of one batch."""
+        folder, path = self._folder()
+        sizes = np.array([max(1, x.size) for x in sets], dtype=np.int64)  # an empty set takes a word: each place is of one row
+        if partition >= 1 << 22 or batch >= 1 << 15 or sizes.sum() >= 1 << 26:
+            raise ValueError("too many partitions, batches or words for a place")
+        folder.create_dir(path, recursive=True)
+        name = f"{path}/{partition}-{batch}"
+        with folder.open_output_stream(own := f"{name}.{uuid.uuid4().hex}") as out:
+            out.write(np.concatenate([x if x.size else np.zeros(1, dtype="<u8") for x in sets]).tobytes())
+        folder.move(own, name)
+        return (partition << 41) + (batch << 26) + np.cumsum(sizes) - sizes
+
+    def read(self, place: int, size: int) -> np.ndarray:
+        if (file := self.open.get(place >> 26)) is None:
+            if len(self.open) >= 256:
+                self.open.pop(next(iter(self.open))).close()
+            folder, path = self._folder()
+            file = self.open[place >> 26] = folder.open_input_file(f"{path}/{place >> 41}-{place >> 26 & 0x7FFF}")
+        return np.frombuffer(file.read_at(8 * size, 8 * (place & 0x3FFFFFF)), dtype="<u8")
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """How many first elements of a set of ``n``, in an order that all sets share, two similar sets can't both have apart."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def common_hashes(sets: Sets, nodes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several texts of a sample share, sorted, and in how many they are."""
+    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0).select("node", "size").toPandas() if n else None
+    if some is None or not len(some):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    parts, held = [], 0
+    for place, size in zip(some["node"].tolist(), some["size"].tolist()):
+        parts.append(sets.read(place, size))
+        if (held := held + size) > 2 * HASHES:
+            break
+    hashes, times = np.unique(np.concatenate(parts), return_counts=True)
+    hashes, times = hashes[times > 2], times[times > 2]
+    most = np.sort(np.argsort(-times, kind="stable")[:COMMON])
+    return hashes[most], times[most]
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first elements of a sorted set in the order of all sets: those not known as common, then rarer ones first."""
+    k = prefix_size(hashes.size, similarity)
+    if common.size and hashes.size:
+        at = np.minimum(np.searchsorted(common, hashes), common.size - 1)
+        rank = np.where(common[at] == hashes, times[at], 0)
+        if rank.any():
+            return hashes[np.lexsort((hashes, rank))[:k]]
+    return hashes[:k]
+
+
+def similar(sets: Sets, node: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (positions, sorted by the first) have sets of that Jaccard similarity, counted on the whole sets."""
+    used = np.unique(np.concatenate([a, b]))
+    if a.size > 1 and size[used].sum() > HASHES:
+        h = a.size // 2
+        return np.concatenate([similar(sets, node, size, a[:h], b[:h], similarity), similar(sets, node, size, a[h:], b[h:], similarity)])
+    sizes = size[used]
+    _, ids = np.unique(np.concatenate([sets.read(p, n) for p, n in zip(node[used].tolist(), sizes.tolist())]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    begins, flag = ends - sizes, np.zeros(int(ids.max()) + 1, dtype=bool)
+    x, y = np.searchsorted(used, a), np.searchsorted(used, b)
+    same = np.zeros(a.size, dtype=np.int64)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), x.size]):
+        own = ids[begins[x[lo]] : ends[x[lo]]]
+        flag[own] = True
+        for i in range(lo, hi, 4096):
+            other = y[i : min(hi, i + 4096)]
+            if other.size == 1:
+                same[i] = np.count_nonzero(flag[ids[begins[other[0]] : ends[other[0]]]])
+            else:
+                members, _ = _ranges(begins[other], ends[other])
+                same[i : i + other.size] = np.add.reduceat(flag[ids[members]], np.cumsum(sizes[other]) - sizes[other], dtype=np.int64)
+        flag[own] = False
+    return same >= similarity * (sizes[x] + sizes[y] - same)
+
+
+def _similar_links(sets: Sets, similarity: float):
+    """Of the pairs that share a hash of their prefixes and are similar a spanning forest, between nodes.
+
+    Every pair whose sizes and places of the hash allow the similarity is compared, unless links that were confirmed
+    before connect it already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (got := _read(batches)) is None:
             return
-        trie, mark, node = got
+        trie, mark, place = got
+        more = trie[1:] == trie[:-1]
+        shared = np.concatenate([more, [False]]) | np.concatenate([[False], more])
+        trie, mark, place = trie[shared], mark[shared].view(np.int64), place[shared]
+        if not trie.size:
+            return
+        n, rest = mark >> 24, (mark >> 24) - (mark & 0xFFFFFF)
+        node, first, at = np.unique(place, return_index=True, return_inverse=True)
+        size, forest = n[first], Forest(node.size)
         begins = np.flatnonzero(np.concatenate([[True], trie[1:] != trie[:-1]]))
         ends = np.concatenate([begins[1:], [trie.size]])
-        at = 0
-        while at < begins.size:  # tries in runs of a few thousand rows, so that the links of one run fit in memory
-            upto = max(at + 1, int(np.searchsorted(ends, begins[at] + 2 * PART, side="right")))
-            lo, hi = begins[at], ends[upto - 1]
-            at = upto
-            held, size = [], 0
-            for pair in trie_links(trie[lo:hi], mark[lo:hi], errors):
-                held.append(pair)
-                size += pair[0].size
-                if size > HELD:
-                    held = [_nearest(mark[lo:hi], *(np.concatenate(x) for x in zip(*held)))]
-                    size = held[0][0].size
-            if not held:
+        list_of = np.repeat(np.arange(begins.size), ends - begins)
+        # Rows of a hash are sorted by size: partners of a row follow it up to the largest size that can be similar.
+        key = list_of.astype(np.float64) * (step := float(n.max() + 2)) + n
+        upto = np.searchsorted(key, list_of * step + np.minimum(n / similarity + 1e-6, step - 1), side="right")
+        partners = np.maximum(upto - np.arange(trie.size) - 1, 0)
+        total, below, row = np.cumsum(partners), np.zeros(0, dtype=np.int64), 0
+        while row < trie.size:
+            until = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + PAIRS, side="right")))
+            left = np.arange(row, until)
+            row = until
+            right, which = _ranges(left + 1, left + 1 + partners[left])
+            left = left[which]
+            # A similar pair is found at the first hash that both have, after which enough must be left.
+            ok = np.minimum(rest[left], rest[right]) >= similarity / (1 + similarity) * (n[left] + n[right]) - 1e-6
+            a, b = at[left[ok]], at[right[ok]]
+            apart = forest.root[a] != forest.root[b]
+            pairs = np.unique(np.minimum(a, b)[apart] * node.size + np.maximum(a, b)[apart])
+            pairs = pairs[~np.isin(pairs, below, assume_unique=True)]
+            if not pairs.size:
                 continue
-            a, b = (np.concatenate(x) for x in zip(*held))
-            if a.size > FEW * (hi - lo):
-                a, b = _nearest(mark[lo:hi], a, b)
-            a, b = a + lo, b + lo
-            a, b = node[a], node[b]
-            yield _edges(np.maximum(a, b)[a != b], np.minimum(a, b)[a != b])
+            a, b = pairs // node.size, pairs % node.size
+            near = similar(sets, node, size, a, b, similarity)
+            forest.join(a[near], b[near])
+            below = np.concatenate([below if below.size < BELOW else below[:0], pairs[~near]])
+        tied = np.flatnonzero(forest.root != np.arange(node.size))
+        yield _edges(node[tied], node[forest.root[tied]])
 
     return run
 
@@ -307,13 +420,17 @@ def _dealt(marks: DataFrame, masks: list[tuple[int, int]], errors: int, run, col
     mark = F.col("mark")
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = F.array(*[F.xxhash64(F.lit(i), "sketch", mark.bitwiseAND(F.lit(signed(m)).cast("long"))) for m, i in masks])
-    dealt = marks.select(*columns, F.explode(keys).alias("trie"))
-    full = _full_tries(dealt, rows * len(masks), most)
+    return _joined(marks.select(*columns, F.explode(keys).alias("trie")), run(errors), columns, rows * len(masks), most)
+
+
+def _joined(dealt: DataFrame, run, columns: list[str], rows: int, most: int) -> DataFrame:
+    """Runs the self-join of the tries in each partition; full ones are cut, and each pair of parts is a trie."""
+    full = _full_tries(dealt, rows, most)
     parts, own = F.coalesce("parts", F.lit(1)), F.pmod(F.xxhash64(F.lit("part"), *columns), F.coalesce("parts", F.lit(1)))
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.xxhash64("trie", F.least(own, x.cast("long")), F.greatest(own, x.cast("long"))))
     each = dealt.join(full, "trie", "left").select(F.when(parts == 1, F.array("trie")).otherwise(pairs).alias("tries"), *columns).select(F.explode("tries").alias("trie"), *columns)
-    tasks = max(1, math.ceil(rows * len(masks) / PER_TASK), int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return each.repartition(tasks, "trie").mapInArrow(run(errors), "a long, b long").distinct()
+    tasks = max(1, math.ceil(rows / PER_TASK), int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return each.repartition(tasks, "trie").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(marks: DataFrame, errors: int = 4, column: str = "fingerprint") -> DataFrame:
@@ -381,42 +498,45 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(cut(classes(marked, errors=errors)), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, sketches: int = 8, errors: int = 7) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents that stay when one of each group of near copies does: ``docs`` with its columns as they are.
 
     Texts are near copies if the sets of their word shingles have a Jaccard similarity of ``similarity`` or more; texts of
-    the same words are copies (those without words, too). Candidates are texts of which one of ``sketches`` independent
-    fingerprints lies within ``errors`` bits: at a similarity of 0.8 one does in about 98 of 100 pairs, at 0.85 in over
-    99. Each candidate is compared exactly, and groups are what confirmed links connect. In a trie that a large group
-    fills, a node's nearest links are compared, not all. Null texts count as empty; an empty table gives an empty result.
+    the same words are copies (those without words, too). Candidates are found by prefix filtering: in an order of all
+    shingles, similar sets share one of their first few, so no pair is missed. Each candidate is compared exactly, unless
+    confirmed links connect it already; groups are what confirmed links connect, and the first document of a group
+    stays. Null texts count as empty; an empty table gives an empty result.
     """
-    columns = docs.columns
-    made = [T.StructField("__words", T.StringType()), T.StructField("__marks", T.ArrayType(T.LongType()))]
+    columns, sets = docs.columns, Sets(docs.sparkSession)
+    made = [T.StructField("__words", T.StringType()), T.StructField("__node", T.LongType()), T.StructField("__size", T.LongType())]
+    batches = iter(range(1 << 62))
 
     def make(batch: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        partition = TaskContext.get().partitionId()
         for a, b in slices(byte_sizes(batch[0]), 4 << 20):
             texts = [x or b"" for x in batch[0].slice(a, b - a).to_pylist()]
-            marks = [signature(shingle_hashes(x, shingle), sketches).view(np.int64) for x in texts]
+            each = [np.unique(shingle_hashes(x, shingle)) for x in texts]
             words = [xxhash.xxh3_128_hexdigest(b" ".join(x.lower().split())) for x in texts]
-            yield a, b, [pa.array(words, pa.string()), pa.array(marks, pa.list_(pa.int64()))]
-
-    def hashed(batch: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
-        for a, b in slices(byte_sizes(batch[0]), 4 << 20):
-            yield a, b, [pa.array([np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in batch[0].slice(a, b - a).to_pylist()], pa.list_(pa.int64()))]
+            yield a, b, [pa.array(words, pa.string()), pa.array(sets.write(partition, next(batches), each)), pa.array([x.size for x in each], pa.int64())]
 
     rest = [c for c in columns if c != text]
-    source = docs.select(F.struct(*[docs[f"`{c}`"] for c in rest], F.lit(0).alias("__none")).alias("__rest"), F.col(f"`{text}`").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__id"))
-    kept = written(arrow_mapped(source, ["__text"], made, make), "signatures")
-    nodes = cut(kept.groupBy("__words").agg(F.min(F.struct("__id", "__marks")).alias("m")).select(F.col("m.__id").alias("node"), F.col("m.__marks").alias("marks")))
-    n = nodes.count()
-    each = nodes.select("node", F.posexplode("marks").alias("sketch", "mark"))
-    found = cut(_dealt(each, choices(errors, n), errors, _near_links, ["mark", "node"], n * sketches, WHOLE))
-    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    sets = arrow_mapped(kept.join(ends, kept["__id"] == ends["node"]).select("node", "__text"), ["__text"], [T.StructField("set", T.ArrayType(T.LongType()))], hashed).select("node", "set")
-    sets = cut(sets)
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    near = found.join(left, "a").join(right, "b").where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
+    source = docs.select(F.struct(*[docs[f"`{c}`"] for c in rest], F.lit(0).alias("__none")).alias("__rest"), F.col(f"`{text}`").cast("string").alias("__text"))
+    kept = written(arrow_mapped(source, ["__text"], made, make), "sets")
+    nodes = cut(kept.groupBy("__words").agg(F.min(F.struct("__node", "__size")).alias("m")).select(F.col("m.__node").alias("node"), F.col("m.__size").alias("size")))
+    n, hashes = nodes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    common = docs.sparkSession.sparkContext.broadcast(common_hashes(sets, nodes, n))
+
+    def dealt(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            place, size = (c.to_numpy() for c in batch.columns)
+            for a, b in slices(8 * size, 8 * HASHES):
+                firsts = [prefix(sets.read(p, k), similarity, *common.value) for p, k in zip(place[a:b].tolist(), size[a:b].tolist())]
+                lens = np.array([x.size for x in firsts], dtype=np.int64)
+                at, which = _ranges(np.zeros(lens.size, dtype=np.int64), lens)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((size[a:b][which] << 24) + at, place[a:b][which], np.concatenate(firsts).view(np.int64))], names=["mark", "node", "trie"])
+
+    each = nodes.where("size > 0").mapInArrow(dealt, "mark long, node long, trie long")
+    near = _joined(each, _similar_links(sets, similarity), ["mark", "node"], n + round((1 - similarity) * int(hashes)), WHOLE)
     gone = components(near).where("node <> root").select(F.col("node").alias("__gone"))
     stay = nodes.join(gone, nodes["node"] == gone["__gone"], "left_anti").select("node")
-    return kept.join(stay, kept["__id"] == stay["node"], "left_semi").select(*[F.col("__text" if c == text else f"__rest.`{c}`").alias(c) for c in columns])
+    return kept.join(stay, kept["__node"] == stay["node"], "left_semi").select(*[F.col("__text" if c == text else f"__rest.`{c}`").alias(c) for c in columns])

@@ -117,3 +117,42 @@ def test_texts_below_the_similarity_all_stay(spark):
     j = len(shingles(" ".join(a)) & shingles(" ".join(b))) / len(shingles(" ".join(a)) | shingles(" ".join(b)))
     assert j < 0.8
     assert simhash.near_copies(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")).count() == 2
+
+
+def changed(words, positions, rng):
+    out = list(words)
+    for i in positions:
+        out[i] = f"x{rng.getrandbits(40)}"
+    return out
+
+
+def spaced(n, k, rng):
+    """k positions of n, away from the ends and far enough apart that each change touches five shingles."""
+    return [5 + 6 * i for i in rng.sample(range((n - 10) // 6), k)]
+
+
+def hot_templates(n, rng):
+    """Documents made of one template, similar to each other below 0.8, and for each a partner above."""
+    template = [f"t{rng.getrandbits(40)}" for _ in range(404)]
+    texts = []
+    for _ in range(n):
+        base = changed(template, spaced(404, 6, rng), rng)
+        texts += [" ".join(base), " ".join(changed(base, spaced(404, 7, rng), rng))]
+    return texts
+
+
+def least_of_groups(texts):
+    sets = [shingles(t) for t in texts]
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    return set(grouped(len(texts), [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near(sets[i], sets[j])]))
+
+
+def stayed(spark, texts, parts=4):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    return {r["doc_id"] for r in simhash.near_copies(df).collect()}
+
+
+def test_partners_in_a_hot_template_equal_brute_force(spark):
+    texts = hot_templates(150, random.Random(5))
+    assert 130 < len(least := least_of_groups(texts)) < 160
+    assert stayed(spark, texts) == least
