@@ -2,8 +2,9 @@
 
 Base kinds (``assign``, ``access``, ``hex``) are reported as matched. Candidates in base64 or hexadecimal are decoded
 and parsed before a confirmed kind is added: armoured and bare private keys by their nested DER lengths or the
-length-prefixed fields of their own container, signed tokens by their JSON header. A candidate whose inner lengths
-don't add up is not reported.
+length-prefixed fields of their own container, signed tokens by their JSON header. A bare key may begin anywhere in a run
+of digits; its own lengths say where it ends. A candidate whose inner lengths don't add up is
+not reported.
 """
 
 from __future__ import annotations
@@ -33,7 +34,14 @@ _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Line ends, as they are or escaped in a string, and escapes of a slash.
+_BREAK = r"(?:\r?\n[\x20\t]*|(?:\\+r)?\\+n|\\+(?=/))"
+_BREAKS = re.compile(_BREAK)
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}")
+_HEXES = re.compile(rf"[0-9A-Fa-f]{{16,}}(?:{_BREAK}[0-9A-Fa-f]+)*")
+#: Where a key can begin: a SEQUENCE tag or the container's magic.
+_BASE64_STARTS = re.compile(r"M(?=[A-P])|b3BlbnNzaC1rZXkt")
+_HEX_STARTS = re.compile(r"3(?=0)|6f70656e7373682d6b65792d", re.IGNORECASE)
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
@@ -120,6 +128,54 @@ def _confirmed(data: bytes | None) -> str | None:
     return "openssh" if is_openssh_key(data) else "der" if is_der_key(data) else None
 
 
+def _der_size(head: bytes) -> int | None:
+    """Bytes that the SEQUENCE beginning here says it has, if it begins as ``is_der_key`` wants it."""
+    if len(head) < 4 or head[0] != 0x30:
+        return None
+    n, at = head[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 0 < k <= 4:
+            return None
+        n, at = int.from_bytes(head[2 : 2 + k], "big"), 2 + k
+    if head[at : at + 1] == b"\x30" or head[at : at + 2] == b"\x02\x01":
+        return at + n
+    return None
+
+
+def _unbase64_any(digits: str) -> bytes:
+    digits = digits[: len(digits) - (len(digits) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(digits + "=" * (-len(digits) % 4))
+
+
+def _unhex_any(digits: str) -> bytes:
+    return bytes.fromhex(digits[: len(digits) // 2 * 2])
+
+
+def _keys(text: str, runs: re.Pattern, starts: re.Pattern, bits: int, decode) -> Iterator[tuple[str, int, int]]:
+    """Bare keys in runs of digits of so many bits; runs go on over line ends."""
+    for m in runs.finditer(text):
+        digits = _BREAKS.sub("", m[0])
+        found, least = [], 0
+        for start in starts.finditer(digits):
+            if (i := start.start()) < least:
+                continue
+            head = decode(digits[i : i + 32])
+            if head.startswith(b"openssh"):
+                if is_openssh_key(decode(digits[i:])):
+                    found.append(("openssh", i, least := len(digits)))
+            elif n := _der_size(head):
+                upto = i + -(-8 * n // bits)
+                if upto <= len(digits) and is_der_key(decode(digits[i:upto])):
+                    found.append(("der", i, least := upto))
+        if found:
+            inside = {k for x in _BREAKS.finditer(m[0]) for k in range(*x.span())}
+            at = [m.start() + k for k in range(len(m[0])) if k not in inside]
+            for kind, i, upto in found:
+                end = at[upto - 1] + 1
+                yield kind, at[i], end + (len(text[end : end + 2]) - len(text[end : end + 2].lstrip("=")) if bits == 6 else 0)
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start, then kind as listed, then end; code points, end exclusive.
 
@@ -139,15 +195,12 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
                 armoured.append(m.span())
                 out.append(("pem", *m.span()))
     free = lambda a, b: not any(x <= a and b <= y for x, y in armoured)
+    if "eyJ" in text:
+        out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token_header(m[0].split(".")[0])]
     for a, b in hexes:
         if (b - a) % 2 == 0 and text.startswith("30", a) and free(a, b) and (kind := _confirmed(bytes.fromhex(text[a:b]))):
             out.append((kind, a, b))
-    if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token_header(m[0].split(".")[0])]
-    for m in _BASE64.finditer(text):
-        # What can be a key begins with a SEQUENCE tag of a long length, or with the container's magic.
-        if m[0].startswith(("MI", "MF", "MC", "MG", "MH", "MD", "b3BlbnNzaC1rZXkt")) and free(*m.span()) and (kind := _confirmed(_unbase64(m[0]))):
-            out.append((kind, *m.span()))
+    out += [x for x in _keys(text, _BASE64, _BASE64_STARTS, 6, _unbase64_any) if free(*x[1:])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

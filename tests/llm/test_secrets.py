@@ -61,3 +61,28 @@ def test_operator(spark):
 def test_redaction_takes_all_of_a_secret_and_nothing_else(spark):
     df = spark.createDataFrame([(1, 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b'), (2, None), (3, "clean")], "doc_id long, text string")
     assert [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()] == ['a <secret>" b', None, "clean"]
+
+
+#: A P-256 key without its public part: 67 bytes, so that base64 begins with ME.
+P256 = bytes.fromhex("304102010030 1306072a8648ce3d020106082a8648ce3d030107 0427 3025 020101 0420") + bytes(range(7, 39))
+
+
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize("n", [*range(28, 32), 48, 63, 64, 67, 79, 80, 130, 300])
+def test_bare_keys_of_any_length_are_found(n):
+    size = lambda k: bytes([k]) if k < 128 else bytes([0x82]) + k.to_bytes(2, "big")
+    key = b"\x02\x01\x00\x04" + size(n - 4 - len(size(n))) + b"k" * (n - 4 - len(size(n)))
+    key = b"\x30" + size(len(key)) + key
+    text = f"x {b64(key)} y"
+    assert [s for s in secrets.spans_of(text) if s[0] == "der"] == [("der", 2, len(text) - 2)]
+
+
+@pytest.mark.parametrize("before", ["", "/", "-", "_", "a", "+M"])
+@pytest.mark.parametrize("after", ["", " ", "\n"])
+def test_keys_are_found_after_anything_glued_to_them(before, after):
+    key = b64(P256)
+    assert len(P256) == 67 and key.startswith("MEECAQAwEwYHKoZIzj0CAQYIKoZIzj0DAQcE")
+    assert secrets.spans_of(before + key + after) == [("der", len(before), len(before) + len(key))]
