@@ -3,7 +3,7 @@
 Base kinds (``assign``, ``access``, ``hex``) are reported as matched. Candidates in base64 or hexadecimal are decoded
 and parsed before a confirmed kind is added: armoured and bare private keys by their nested DER lengths or the
 length-prefixed fields of their own container, signed tokens by their JSON header. A bare key may begin anywhere in a run
-of digits; its own lengths say where it ends. A candidate whose inner lengths don't add up is
+of digits and be wrapped over lines; its own lengths say where it ends. A candidate whose inner lengths don't add up is
 not reported.
 """
 
@@ -37,7 +37,7 @@ _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: Line ends, as they are or escaped in a string, and escapes of a slash.
 _BREAK = r"(?:\r?\n[\x20\t]*|(?:\\+r)?\\+n|\\+(?=/))"
 _BREAKS = re.compile(_BREAK)
-_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}")
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*")
 _HEXES = re.compile(rf"[0-9A-Fa-f]{{16,}}(?:{_BREAK}[0-9A-Fa-f]+)*")
 #: Where a key can begin: a SEQUENCE tag or the container's magic.
 _BASE64_STARTS = re.compile(r"M(?=[A-P])|b3BlbnNzaC1rZXkt")
@@ -185,21 +185,19 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         out += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    hexes = [m.span() for m in _HEX.finditer(text)]
-    out += [("hex", *x) for x in hexes]
+    out += [("hex", *m.span()) for m in _HEX.finditer(text)]
     armoured = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            body = "".join(line for line in m[2].split("\n\n")[-1].split())
+            body = re.sub(r"\\+n", "\n", re.sub(r"\\+r|\r", "", m[2]))  # line ends may be escaped
+            body = "".join(re.sub(r"""[\\"',]""", "", body).split("\n\n")[-1].split())
             if _confirmed(_unbase64(body)):
                 armoured.append(m.span())
                 out.append(("pem", *m.span()))
     free = lambda a, b: not any(x <= a and b <= y for x, y in armoured)
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token_header(m[0].split(".")[0])]
-    for a, b in hexes:
-        if (b - a) % 2 == 0 and text.startswith("30", a) and free(a, b) and (kind := _confirmed(bytes.fromhex(text[a:b]))):
-            out.append((kind, a, b))
+    out += [x for x in _keys(text, _HEXES, _HEX_STARTS, 4, _unhex_any) if free(*x[1:])]
     out += [x for x in _keys(text, _BASE64, _BASE64_STARTS, 6, _unbase64_any) if free(*x[1:])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -86,3 +86,24 @@ def test_keys_are_found_after_anything_glued_to_them(before, after):
     key = b64(P256)
     assert len(P256) == 67 and key.startswith("MEECAQAwEwYHKoZIzj0CAQYIKoZIzj0DAQcE")
     assert secrets.spans_of(before + key + after) == [("der", len(before), len(before) + len(key))]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
+def test_keys_over_line_ends_of_every_kind(end):
+    lines = end.join(re.findall(".{1,64}", b64(LONG)))
+    armour = end.join(["-----BEGIN PRIVATE KEY-----", lines, "-----END PRIVATE KEY-----"])
+    assert secrets.spans_of(f'{{"key": "{armour}{end}"}}') == [("pem", 9, 9 + len(armour))]
+    assert secrets.spans_of(f"x {lines} y") == [("der", 2, 2 + len(lines))]
+
+
+def test_keys_in_hexadecimal_of_either_case():
+    for key, kind in ((LONG, "der"), (P256, "der"), (openssh(), "openssh")):
+        for digits in (key.hex(), key.hex().upper()):
+            assert (kind, 2, 2 + len(digits)) in secrets.spans_of(f"x {digits} y")
+            assert kind not in kinds(f"x {digits[:-8]} y")
+
+
+def test_redaction_leaves_nothing_of_an_escaped_key(spark):
+    armour = "-----BEGIN PRIVATE KEY-----\\n" + b64(P256) + "\\n-----END PRIVATE KEY-----\\n"
+    df = spark.createDataFrame([(1, f'{{"private_key": "{armour}"}}')], "doc_id long, text string")
+    assert secrets.redact(df).first()["text"] == '{"private_key": "<secret>\\n"}'
