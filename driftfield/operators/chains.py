@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from driftfield.operators.rules import faults, report
 
 
-def walked(chunks: DataFrame, most: int = 1 << 16) -> DataFrame:
+def walked(chunks: DataFrame, most: int | None = None) -> DataFrame:
     """``chunks`` (offset, kind, reference) with ``keyframe`` (null if the chain ends nowhere) and ``depth``.
 
-    Pointers double each round, so a chain of n chunks takes log n joins; keyframes (kind 0) point to themselves.
+    Pointers double each round, so a chain of n chunks takes log n joins; keyframes (kind 0) point to themselves. Rounds
+    end when no pointer moves, or beyond ``most`` links: by default as many as there are chunks, which only cycles reach.
     """
     at = F.when(F.col("kind") == 0, F.col("offset")).otherwise(F.col("reference"))
     p = chunks.select("offset", at.alias("to"), F.when(F.col("kind") == 0, 0).otherwise(1).cast("long").alias("steps"))
-    span = 1
+    span, most = 1, chunks.count() if most is None else most
     while span < most:
         nxt = p.select(F.col("offset").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
-        p = p.join(nxt, "to", "left").select("offset", F.col("to2").alias("to"), (F.col("steps") + F.col("steps2")).alias("steps"))
-        span *= 2
+        p = p.join(nxt, "to", "left").select("offset", F.col("to2").alias("to"), (F.col("steps") + F.col("steps2")).alias("steps"), (~F.col("to").eqNullSafe(F.col("to2"))).alias("moved"))
+        p = p.localCheckpoint()  # or the plan would double each round
+        if p.where("moved").isEmpty():
+            break
+        p, span = p.drop("moved"), 2 * span
     key = chunks.where("kind = 0").select(F.col("offset").alias("to"), F.lit(True).alias("is_key"))
     ends = p.join(key, "to", "left").select("offset", F.when(F.col("is_key"), F.col("to")).alias("keyframe"), F.when(F.col("is_key"), F.col("steps")).alias("depth"))
     return chunks.join(ends, "offset", "left")
 
 
-def chain_faults(chunks: DataFrame, most: int = 16) -> DataFrame:
+def chain_faults(chunks: DataFrame, most: int | None = None) -> DataFrame:
     """Forward and broken references, chains without a keyframe, and declared depths that aren't the walked ones."""
     known = chunks.select(F.col("offset").alias("__o"))
     delta = chunks.where("kind = 1")
