@@ -156,3 +156,18 @@ def test_partners_in_a_hot_template_equal_brute_force(spark):
     texts = hot_templates(150, random.Random(5))
     assert 130 < len(least := least_of_groups(texts)) < 160
     assert stayed(spark, texts) == least
+
+
+def test_layout_and_neighbours_do_not_decide(spark, monkeypatch):
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    few = [t for base in (words(184) for _ in range(20)) for t in (" ".join(base), " ".join(changed(base, spaced(184, 4, rng), rng)))]
+    texts = few + hot_templates(60, rng)
+    one = stayed(spark, texts, 1)
+    assert {i for i in one if i < 40} == set(range(0, 40, 2)) == stayed(spark, few)
+    monkeypatch.setattr(simhash, "PER_TASK", 500)
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    monkeypatch.setattr(simhash, "BELOW", 1)
+    monkeypatch.setattr(simhash, "PART", 16)
+    monkeypatch.setattr(simhash, "WHOLE", 32)
+    assert stayed(spark, texts, 7) == one == least_of_groups(texts)
