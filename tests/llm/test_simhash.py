@@ -171,3 +171,15 @@ def test_layout_and_neighbours_do_not_decide(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PART", 16)
     monkeypatch.setattr(simhash, "WHOLE", 32)
     assert stayed(spark, texts, 7) == one == least_of_groups(texts)
+
+
+@pytest.mark.parametrize("n, k", [(184, 4), (304, 6), (164, 3), (264, 4)])
+def test_every_pair_at_the_threshold_is_found(spark, n, k):
+    rng = random.Random(n)
+    texts = []
+    for _ in range(150):
+        base = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+        texts += [" ".join(base), " ".join(changed(base, spaced(n, k, rng), rng))]
+    a, b = shingles(texts[0]), shingles(texts[1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.87
+    assert stayed(spark, texts) == set(range(0, 300, 2))
