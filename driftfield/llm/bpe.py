@@ -5,7 +5,8 @@ automaton (equal suffixes share states). Numbers on its edges add up to a word's
 the transducer's output. The file lies in the shared folder; workers memory-map it and look up the distinct words of a
 slice all at once. Words that it lacks are merged exactly, so the lexicon decides speed and never the result.
 
-A slice of texts becomes ids without a Python loop over ids: words map to distinct words, and numpy repeats those.
+A slice of texts becomes ids without a Python loop over words or ids: Arrow finds the distinct units between blanks and
+repeats what belongs to each, as it does with the bytes and the decimal digits of ids.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import json
 import mmap
 import re
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, shared_dir, slices, texts_of, worker_tool
+from driftfield.llm.shared import arrow_mapped, byte_sizes, cut, shared_dir, slices, worker_tool
 
 #: Fixed value: the pattern that cuts a text into words before any merge.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,12 +43,15 @@ NEWER = (
 )
 #: At most so many words are compiled (about 9 MB of automaton); rarer ones are merged when met.
 LEXICON_WORDS = 200_000
-#: Merged words that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Units between blanks that a worker remembers before it starts afresh; and bytes of those that it doesn't remember and of words that are merged by themselves.
+REMEMBERED, LONG = 400_000, 64
 #: Distinct words that a task counts before it hands its counts on.
-COUNTED = 100_000
+COUNTED = 200_000
 #: Text bytes that are handled at once.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 21
+#: White space as the pattern and any of its engines see it; and a blank inside of it, where units don't stand alone.
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+APART = rf"{SPACE} (?:{SPACE}|\z)"
 
 
 def _byte_chars() -> dict[str, int]:
@@ -76,24 +79,83 @@ class Merges:
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.ranked = {p: rank << 20 | new for p, (rank, new) in self.pairs.items()}  # ordered by rank; the id in the low bits
-
-    def word(self, word: bytes) -> list[int]:
-        """Ids of one word: the pair of lowest rank, leftmost first, merges until none is left."""
-        ids = [self.single[b] for b in word]
-        if len(ids) > 48:
-            return self._long(ids)
-        get = self.ranked.get
-        found = [get(p, NEVER) for p in zip(ids, ids[1:])]
-        while found and (best := min(found)) != NEVER:
-            at = found.index(best)
-            ids[at : at + 2] = [best & ID]
-            del found[at]
-            if at:
-                found[at - 1] = get((ids[at - 1], ids[at]), NEVER)
-            if at < len(found):
-                found[at] = get((ids[at], ids[at + 1]), NEVER)
-        return ids
+        self.symbol = np.array(self.single, dtype=np.int64)
+        self._hash(np.array([a << 20 | b for a, b in self.pairs], dtype=np.int64), np.array([rank << 20 | new for rank, new in self.pairs.values()], dtype=np.int64))
+
+    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """A table by open addressing of pairs and what they merge to: ordered by rank, the id in the low bits."""
+        self.bits = 4 + max(1, keys.size).bit_length()
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, NEVER, dtype=np.int64)
+        slot = self._slot(keys)
+        while keys.size:
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            left = np.ones(keys.size, dtype=bool)
+            left[put] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _ranks(self, ids: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the symbols ``at`` and those after them merge to; NEVER at the end of a word (``of``) too."""
+        after = np.minimum(at + 1, ids.size - 1)
+        keys = np.where((after > at) & (of[after] == of[at]), ids[at] << 20 | ids[after], -2)
+        slot = self._slot(keys)
+        there, out = self.keys[slot], self.values[slot]
+        out[there != keys] = NEVER
+        open_ = np.flatnonzero((there != keys) & (there >= 0) & (keys >= 0))
+        while open_.size:
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[open_]]
+            same = there == keys[open_]
+            out[open_[same]] = self.values[slot[open_[same]]]
+            open_ = open_[~same & (there >= 0)]
+        return out
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has: in a word the pair of lowest rank, leftmost first, merges until none is left.
+
+        All words merge a pair at a time together; long ones go by themselves.
+        """
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        long_ = np.flatnonzero(lens > LONG).tolist()
+        alone = [np.array(self._long([self.single[b] for b in words[i]]), dtype=np.int64) for i in long_]
+        done = [(np.array([i]), np.array([x.size]), x) for i, x in zip(long_, alone)]
+        own = np.flatnonzero((lens > 0) & (lens <= LONG))
+        n = lens[own]
+        ids = self.symbol[np.frombuffer(b"".join([words[i] for i in own.tolist()]), dtype=np.uint8)]
+        of = np.repeat(np.arange(own.size), n)
+        rank = self._ranks(ids, of, np.arange(ids.size))
+        while own.size:
+            best = np.minimum.reduceat(rank, np.cumsum(n) - n)
+            ready = best == NEVER
+            if ready.any():
+                gone = ready[of]
+                done.append((own[ready], n[ready], ids[gone]))
+                ids, rank, own, n, best = ids[~gone], rank[~gone], own[~ready], n[~ready], best[~ready]
+                if not own.size:
+                    break
+                of = np.repeat(np.arange(own.size), n)
+            hit = np.flatnonzero(rank == best[of])
+            hit = hit[np.concatenate([[True], of[hit[1:]] != of[hit[:-1]]])]
+            ids[hit] = best & ID
+            stay = np.ones(ids.size, dtype=bool)
+            stay[hit + 1] = False
+            ids, rank, of, n = ids[stay], rank[stay], of[stay], n - 1
+            hit -= np.arange(hit.size)  # each word before lost a symbol
+            before = hit[np.flatnonzero(of[hit[1:] - 1] == of[hit[1:]]) + 1] - 1
+            again = np.concatenate([hit, before, hit[:1] - 1 if hit[0] > 0 else hit[:0]])
+            rank[again] = self._ranks(ids, of, again)
+        counts = np.zeros(len(words), dtype=np.int64)
+        for i, k, _ in done:
+            counts[i] = k
+        begin, flat = np.cumsum(counts) - counts, np.empty(int(counts.sum()), dtype=np.int32)
+        for i, k, x in done:
+            _spread(flat, begin[i], x, np.cumsum(k) - k, k)
+        return flat, counts
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap over linked neighbours, in n log n steps."""
@@ -228,64 +290,131 @@ class Lexicon:
 
 
 class Encoder:
-    """Ids of whole texts. Special tokens' strings become their ids, as in the file's own library."""
+    """Ids of whole texts. Special tokens' strings become their ids, as in the file's own library.
+
+    A text is cut at single blanks. A unit (a blank and what follows up to the next one) has the same ids wherever it
+    stands, unless white space surrounds a blank; texts where it does, or with special tokens, are cut by the pattern.
+    Units are counted off by Arrow, so Python sees the distinct ones of a slice only, and remembers their ids.
+    """
 
     def __init__(self, merges: Merges, lexicon: Lexicon):
-        self.merges, self.lexicon, self.merged = merges, lexicon, {}
+        self.merges, self.lexicon, self.units = merges, lexicon, {}
         newer = "".join("-".join(rf"\U{int(c, 16):08X}" for c in r.split("-")) for r in NEWER.split())
         self.pieces, self.newer = regex.compile(PIECES), re.compile(f"[{newer}]")
         letters, numbers = rf"[\p{{L}}--[{newer}]]", rf"[\p{{N}}--[{newer}]]"
         self.older = regex.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^\s||{letters}||{numbers}]").replace(r"?\p{L}", f"?{letters}").replace(r"?\p{N}", f"?{numbers}"), regex.V1)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
 
-    def words(self, text: str, pieces: regex.Pattern) -> list[str]:
+    def words(self, text: str) -> list[str]:
+        """The pieces of a text that are merged by themselves; special tokens have a NUL before them."""
+        cut = lambda x: (self.pieces if x.isascii() or not self.newer.search(x) else self.older).findall(x)
         if self.special is None or not any(s in text for s in self.merges.special):
-            return pieces.findall(text)
+            return cut(text)
         out = []
         for i, part in enumerate(self.special.split(text)):
-            out += ["\0" + part] if i % 2 else pieces.findall(part)  # no word begins with NUL and goes on with a letter or sign of its own
+            out += ["\0" + part] if i % 2 else cut(part)  # no word begins with NUL and goes on with a letter or sign of its own
         return out
 
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after the other, and how many each has."""
         raw = [w.encode() for w in words]
+        special = {i: self.merges.special[w[1:]] for i, w in enumerate(words) if w[0] == "\0" and w[1:] in self.merges.special}
         at = self.lexicon.find(raw)
-        if len(self.merged) > REMEMBERED:
-            self.merged.clear()
-        lens, out = np.zeros(len(words), dtype=np.int64), {}
-        hit = np.flatnonzero(at >= 0)
+        hit, other = np.flatnonzero(at >= 0), [i for i in np.flatnonzero(at < 0).tolist() if i not in special]
+        merged, each = self.merges.encoded([raw[i] for i in other])
+        lens, other = np.ones(len(words), dtype=np.int64), np.array(other, dtype=np.int64)
         lens[hit] = self.lexicon.start[at[hit] + 1] - self.lexicon.start[at[hit]]
-        for i in np.flatnonzero(at < 0).tolist():
-            w = words[i]
-            ids = self.merged.get(w)
-            if ids is None:
-                # A tuple of numbers is nothing that the garbage collector has to look through.
-                ids = self.merged[w] = (self.merges.special[w[1:]],) if w[0] == "\0" and w[1:] in self.merges.special else tuple(self.merges.word(raw[i]))
-            out[i] = ids
-            lens[i] = len(ids)
-        begin = np.cumsum(lens) - lens
-        flat = np.empty(int(lens.sum()), dtype=np.int32)
+        lens[other] = each
+        begin, flat = np.cumsum(lens) - lens, np.empty(int(lens.sum()), dtype=np.int32)
         _spread(flat, begin[hit], self.lexicon.ids, self.lexicon.start[at[hit]], lens[hit])
-        for i, ids in out.items():
-            flat[begin[i] : begin[i] + len(ids)] = ids
+        _spread(flat, begin[other], merged, np.cumsum(each) - each, each)
+        for i, x in special.items():
+            flat[begin[i]] = x
         return flat, lens
 
-    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has."""
-        lists = [self.words(t, self.pieces) for t in texts]
-        seen = dict.fromkeys(chain.from_iterable(lists), 0)
-        if self.newer.search("".join(w for w in seen if not w.isascii())):
-            lists = [self.words(t, self.older) if self.newer.search(t) else words for t, words in zip(texts, lists)]
-            seen = dict.fromkeys(chain.from_iterable(lists), 0)
+    def packed(self, units: list[str], whole: set[int]) -> list[bytes]:
+        """The ids of each unit, as the bytes of 32-bit numbers. Those that have white space beyond a first blank, and special tokens, are named by ``whole``."""
+        known = self.units
+        out = list(map(known.get, units))
+        fresh = [i for i, x in enumerate(out) if x is None]
+        if not fresh:
+            return out
+        if len(known) > REMEMBERED:
+            known.clear()
+        special = {"\0" + x for x in self.merges.special}
+        plain, rest = [i for i in fresh if i not in whole], [i for i in fresh if i in whole]
+        # The pattern is run once over all units: a line end between units is a piece of its own.
+        pieces = self.words("\n".join([units[i] for i in plain]))
+        lists = [[u] if (u := units[i]) in special else self.words(u) for i in rest]
+        seen = dict.fromkeys(chain(pieces, chain.from_iterable(lists)))
+        seen.pop("\n", None)
+        flat, lens = self.ids_of([*seen, "\n"])
         for i, w in enumerate(seen):
             seen[w] = i
-        flat, lens = self.ids_of(list(seen))
-        counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        which = np.fromiter(map(seen.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(counts.sum()))
-        ids, each = _repeated(flat, np.cumsum(lens) - lens, lens, which)
-        ends = np.concatenate([[0], np.cumsum(each)])
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(ends[upto])
+        seen["\n"] = len(seen)
+        data, ends = flat.tobytes(), 4 * np.cumsum(lens)
+        begin = ends - 4 * lens
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(seen), [None, pa.py_buffer(np.concatenate([begin, ends[-1:]])), pa.py_buffer(data)])
+        which = np.fromiter(map(seen.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        apart = np.flatnonzero(which == len(seen) - 1)
+        got, upto = _taken(table, which)
+        got, line = got.to_pybytes(), 4 * int(lens[-1])
+        starts, stops = [0, *upto[apart + 1].tolist()], [*(upto[apart + 1] - line).tolist(), int(upto[-1])]
+        made = dict(zip(plain, (got[a:b] for a, b in zip(starts, stops))))
+        made |= {i: b"".join([data[begin[k] : ends[k]] for k in map(seen.__getitem__, words)]) for i, words in zip(rest, lists)}
+        for i, x in made.items():
+            out[i] = x
+            if len(units[i]) <= LONG:
+                known[units[i]] = x
+        return out
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings without nulls), one after the other, and how many each has."""
+        odd = pc.match_substring_regex(texts, APART)
+        for s in self.merges.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ") if odd.any() else pc.split_pattern(texts, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        tokens = lists.flatten().dictionary_encode()
+        distinct, which, first = tokens.dictionary.to_numpy(zero_copy_only=False).tolist(), tokens.indices.to_numpy().astype(np.int64), at[:-1]
+        whole = set(np.flatnonzero(pc.match_substring_regex(tokens.dictionary, rf"\A\z|{SPACE}").to_numpy(zero_copy_only=False)).tolist())
+        heads, head = np.unique(which[first], return_inverse=True)  # a text's first unit has no blank
+        which[first] = len(distinct) + head
+        units, counts = [" " + x for x in distinct] + [distinct[i] for i in heads.tolist()], np.diff(at)
+        whole |= {len(distinct) + k for k, i in enumerate(heads.tolist()) if i in whole}
+        if odd.any():
+            more: dict[str, int] = {}
+            parts = np.split(which, at[1:-1])
+            for i in np.flatnonzero(odd).tolist():
+                words = self.words(texts[i].as_py())
+                parts[i] = len(units) + np.fromiter((more.setdefault(w, len(more)) for w in words), dtype=np.int64, count=len(words))
+                counts[i] = len(words)
+            whole.update(range(len(units), len(units) + len(more)))
+            which, units = np.concatenate(parts), [*units, *more]
+        ids, ends = _taken(pa.array(self.packed(units, whole), pa.large_binary()), which)
+        return np.frombuffer(ids, dtype=np.int32), np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]) // 4
+
+
+def _taken(table: pa.Array, which: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The entries ``which`` of a table of byte strings, one after the other, and where each ends (from 0)."""
+    out = table.take(pa.array(which))
+    _, ends, data = out.buffers()
+    return data if data is not None else pa.py_buffer(b""), np.frombuffer(ends, dtype=np.int64, count=which.size + 1)
+
+
+def _runs(table: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """For each run of ids the table's entries, joined."""
+    data, ends = _taken(table, ids)
+    ends = ends[np.concatenate([[0], np.cumsum(counts)])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), counts.size, [None, pa.py_buffer(ends), data])
+
+
+def digests(column: pa.Array, less: int = 0) -> list[str]:
+    """SHA-256 of each value of an array that ``_runs`` made, without its last ``less`` bytes."""
+    _, ends, data = column.buffers()
+    ends, data, sha = np.frombuffer(ends, dtype=np.int64, count=len(column) + 1).tolist(), memoryview(data or b""), hashlib.sha256
+    return [sha(data[a : max(a, b - less)]).hexdigest() for a, b in zip(ends, ends[1:])]
 
 
 def _spread(to: np.ndarray, to_at: np.ndarray, source: np.ndarray, at: np.ndarray, lens: np.ndarray) -> None:
@@ -297,27 +426,23 @@ def _spread(to: np.ndarray, to_at: np.ndarray, source: np.ndarray, at: np.ndarra
         to[np.repeat((to_at - ends + lens).astype(kind), lens) + step] = source[np.repeat((at - ends + lens).astype(kind), lens) + step]
 
 
-def _repeated(flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``which`` of ``flat``, one after the other, and their lengths."""
-    each = lens[which]
-    out = np.empty(int(each.sum()), dtype=flat.dtype)
-    _spread(out, np.cumsum(each) - each, flat, begin[which], each)
-    return out, each
-
-
 class Decoder:
     def __init__(self, merges: Merges):
-        size = max(merges.tokens) + 1
-        tokens = [merges.tokens.get(i, b"") for i in range(size)]
-        self.lens = np.fromiter(map(len, tokens), dtype=np.int64, count=size)
-        self.begin, self.bytes = np.cumsum(self.lens) - self.lens, np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        ids = range(max(merges.tokens) + 1)
+        self.tokens = pa.array([merges.tokens.get(i, b"") for i in ids], pa.large_binary())
+        self.decimal = pa.array([b"%d," % i for i in ids], pa.large_binary())
 
-    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """The texts of id runs; bytes that are not UTF-8 become replacement characters."""
-        data, each = _repeated(self.bytes, self.begin, self.lens, ids)
-        ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        data = data.tobytes()
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+        out = _runs(self.tokens, ids, counts)
+        try:
+            return out.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.large_string())
+
+    def listed(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The ids of each run as decimal numbers with a comma after each."""
+        return _runs(self.decimal, ids, counts)
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -333,19 +458,21 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORD
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, seen = re.compile(r"[^\W\d_]+"), Counter()
+        letters, seen = re.compile(r"[^\W\d_]+"), {}
 
         def out() -> pa.RecordBatch:
             words: dict[str, int] = {}
-            for token, n in seen.items():  # tokens between blanks are many times fewer once they are distinct
-                for w in letters.findall(token):
+            for token, n in seen.items():
+                for w in (token,) if token.isalpha() else letters.findall(token):
                     words[w] = words.get(w, 0) + n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                seen.update(x.split())
+            for a, b in slices(byte_sizes(batch.column(0)), 4 * SLICE_BYTES):
+                tokens, times = pc.value_counts(pc.split_pattern(batch.column(0).slice(a, b - a), " ").flatten()).flatten()
+                for token, n in zip(tokens.to_numpy(zero_copy_only=False).tolist(), times.to_numpy().tolist()):
+                    seen[token] = seen.get(token, 0) + n
                 if len(seen) > COUNTED:
                     yield out()
         yield out()
@@ -371,7 +498,10 @@ class Codec:
         with open(tokenizer, encoding="utf-8") as f:
             text = f.read()
         merges = Merges(text)
-        lexicon = Lexicon.compiled({w: merges.word(w) for word in words for w in (word.encode(), b" " + word.encode())})
+        entries = [w for word in words for w in (word.encode(), b" " + word.encode())]
+        flat, lens = merges.encoded(entries)
+        ends = np.cumsum(lens).tolist()
+        lexicon = Lexicon.compiled({w: flat[a:b].tolist() for w, a, b in zip(entries, [0, *ends], ends)})
         blob = lexicon.packed()
         self.path = f"{shared_dir(spark).rstrip('/')}/lexicon-{uuid.uuid4().hex}.bin"
         target, fs = _hadoop_path(spark, self.path)
@@ -410,12 +540,19 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids")
     def make(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         encoder = codec.tools()[0]
         for a, b in slices(byte_sizes(columns[0]), SLICE_BYTES):
-            flat, counts = encoder.encoded([x or "" for x in texts_of(columns[0].slice(a, b - a))])
-            yield a, b, [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))]
+            yield a, b, [id_lists(*encoder.encoded(_strings(columns[0].slice(a, b - a))))]
 
     return arrow_mapped(docs, [text], [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
 
+def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+
+
+def _strings(texts: pa.Array) -> pa.Array:
+    return pc.fill_null(texts.cast(pa.string()), "")
+
+
 def decode(docs: DataFrame, codec: Codec, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the text of each row's ids; null or no ids give the empty text. Special tokens become their strings."""
 
@@ -424,28 +561,33 @@ def decode(docs: DataFrame, codec: Codec, ids: str = "ids", decoded: str = "deco
         counts = pc.fill_null(pc.list_value_length(columns[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b in slices(4 * counts, SLICE_BYTES):
             ids = columns[0].slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            yield a, b, [pa.array(decoder.decoded(ids, counts[a:b]), pa.string())]
+            yield a, b, [decoder.decoded(ids, counts[a:b]).cast(pa.string())]
 
     return arrow_mapped(docs, [ids], [T.StructField(decoded, T.StringType())], make)
 
 
-def encode_and_decode(docs: DataFrame, codec: Codec, derived: list[T.StructField], derive: Callable[[list[np.ndarray], list[str]], list[list]], text: str = "text") -> DataFrame:
-    """``docs`` with columns that ``derive`` makes, in the worker, from the ids and the decoded texts of a slice of rows.
+def encode_and_decode(docs: DataFrame, codec: Codec, derived: list[T.StructField], derive: Callable[[Decoder, np.ndarray, np.ndarray, pa.Array], list], text: str = "text") -> DataFrame:
+    """``docs`` with columns that ``derive`` makes, in the worker, from a slice's ids, how many each row has, and the decoded texts.
 
     Ids and decoded texts are those of ``encode`` and ``decode``; they need not go through the JVM where only what is
-    derived from them is wanted.
+    derived from them is wanted. Null and empty texts have no ids and decode to the empty text; repeated rows stay; an
+    empty table gives an empty result; an input column called like a derived one is replaced.
     """
 
     def make(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         encoder, decoder = codec.tools()
         for a, b in slices(byte_sizes(columns[0]), SLICE_BYTES):
-            flat, counts = encoder.encoded([x or "" for x in texts_of(columns[0].slice(a, b - a))])
-            out = derive(np.split(flat, np.cumsum(counts)[:-1]), decoder.decoded(flat, counts))
-            yield a, b, [pa.array(x) for x in out]
+            ids, counts = encoder.encoded(_strings(columns[0].slice(a, b - a)))
+            yield a, b, [x if isinstance(x, pa.Array) else pa.array(x) for x in derive(decoder, ids, counts, decoder.decoded(ids, counts))]
 
     return arrow_mapped(docs, [text], derived, make)
 
 
-def ids_and_digests(ids: list[np.ndarray], texts: list[str]) -> list[list]:
+def ids_and_digests(decoder: Decoder, ids: np.ndarray, counts: np.ndarray, texts: pa.Array) -> list:
     """The ids as they are, and the SHA-256 of each decoded text."""
-    return [ids, [hashlib.sha256(x.encode()).hexdigest() for x in texts]]
+    return [id_lists(ids, counts), digests(texts)]
+
+
+def counts_and_digests(decoder: Decoder, ids: np.ndarray, counts: np.ndarray, texts: pa.Array) -> list:
+    """How many ids, the SHA-256 of their decimals joined by commas, and that of the decoded text."""
+    return [counts, digests(decoder.listed(ids, counts), less=1), digests(texts)]

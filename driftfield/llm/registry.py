@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +24,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _digests(ids: list, texts: list[str]) -> list[list]:
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    return [[len(i) for i in ids], [sha(",".join(map(str, i.tolist()))) for i in ids], [sha(x) for x in texts]]
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codec = bpe.Codec(spark, tokenizer_file(), bpe.frequent_words(docs))
     made = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields
-    return bpe.encode_and_decode(docs, codec, made, _digests).drop("text")
+    return bpe.encode_and_decode(docs, codec, made, bpe.counts_and_digests).drop("text")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

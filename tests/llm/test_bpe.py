@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,14 +29,14 @@ def random_texts(n):
 
 def test_ids_equal_the_library(merges, reference):
     words = [b"the", b" the", b" of", b"erheou"]
-    lexicon = bpe.Lexicon.over(bpe.Lexicon.compiled({w: merges.word(w) for w in words}).packed())
+    lexicon = bpe.Lexicon.over(bpe.Lexicon.compiled({w: merges.encoded([w])[0].tolist() for w in words}).packed())
     encoder, decoder = bpe.Encoder(merges, lexicon), bpe.Decoder(merges)
-    texts = [t or "" for t in TEXTS] + random_texts(400)
-    flat, counts = encoder.encoded(texts)
+    texts = [t or "" for t in TEXTS] + random_texts(4000)
+    flat, counts = encoder.encoded(pa.array(texts))
     ends = [0, *counts.cumsum()]
     want = [reference.encode(t, add_special_tokens=False).ids for t in texts]
     assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
-    assert decoder.decoded(flat, counts) == [reference.decode(i, skip_special_tokens=False) for i in want]
+    assert decoder.decoded(flat, counts).to_pylist() == [reference.decode(i, skip_special_tokens=False) for i in want]
 
 
 def test_lexicon_finds_its_words_and_no_others(merges, tmp_path):
@@ -61,7 +63,7 @@ def test_bytes_that_are_no_text_become_replacement_characters(merges, reference)
     import numpy as np
 
     ids = [merges.single[0xE6], merges.single[0x41], 50256]
-    assert bpe.Decoder(merges).decoded(np.array(ids), np.array([3])) == [reference.decode(ids, skip_special_tokens=False)]
+    assert bpe.Decoder(merges).decoded(np.array(ids), np.array([3])).to_pylist() == [reference.decode(ids, skip_special_tokens=False)]
 
 
 def test_operators_keep_rows_and_clashing_columns(spark, reference):
@@ -78,3 +80,13 @@ def test_frequent_words_come_whole_counts_at_a_time(spark):
     df = spark.createDataFrame([("a a a a b b b b c",), (None,), ("",)], "text string")
     assert sorted(bpe.frequent_words(df, most=2)) == ["a", "b"] and bpe.frequent_words(df, most=1) == []
     assert df.select(F.col("text")).count() == 3
+
+
+def test_the_query_equals_the_library(spark, reference, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS + random_texts(200) + ["word " * 200_000 + "日本語" * 50_000])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r[1:]) for r in registry.op1_bpe(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for i, t in rows:
+        ids = reference.encode(t or "", add_special_tokens=False).ids
+        assert got[i] == (len(ids), sha(",".join(map(str, ids))), sha(reference.decode(ids, skip_special_tokens=False))), t
