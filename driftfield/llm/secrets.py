@@ -32,8 +32,14 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+#: Three runs with dots between, taken whole, so that a run is read once; a token may begin at any of these inside the first.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+_JWT_START = re.compile("eyJ")
+#: Headers of an armour whose body is encrypted: the cipher's name and start value say what the body must be.
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})\s")
+#: Object identifiers (encoded) that password-based algorithms begin with.
+PASSWORD_BASED = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 #: Line ends, as they are or escaped in a string, and escapes of a slash.
 _BREAK = r"(?:\r?\n[\x20\t]*|(?:\\+r)?\\+n|\\+(?=/))"
 _BREAKS = re.compile(_BREAK)
@@ -75,19 +81,39 @@ def der_elements(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def _nested(elements: list[tuple[int, bytes]], depth: int = 0) -> bool:
+    """Whether the lengths in all constructed elements add up, at every level."""
+    for tag, content in elements:
+        if tag & 0x20 and (depth > 16 or (inner := der_elements(content)) is None or not _nested(inner, depth + 1)):
+            return False
+    return True
+
+
 def is_der_key(data: bytes) -> bool:
-    """A DER SEQUENCE that fills the data and holds what keys hold: a version or algorithm first, all lengths nested exactly."""
+    """A DER SEQUENCE that fills the data, all lengths nested exactly, in a shape that private keys have.
+
+    A version and then numbers alone; a version, an algorithm's SEQUENCE with its identifier, and an OCTET STRING; a version
+    and an OCTET STRING; or a password-based algorithm and the encrypted OCTET STRING. Public keys and certificates, which
+    begin with another SEQUENCE, are none of these.
+    """
     if len(data) < 16 or data[0] != 0x30:
         return False
     outer = der_elements(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     inner = der_elements(outer[0][1])
-    if not inner or len(inner) < 2 or inner[0][0] not in (0x02, 0x30):
+    if not inner or len(inner) < 2 or not _nested(inner):
         return False
-    if inner[0][0] == 0x02 and len(inner[0][1]) != 1:  # a version is one byte
+    (first, content), (second, algorithm), *rest = inner
+    if first == 0x30:
+        return second == 0x04 and not rest and content[:1] == b"\x06" and content[2:].startswith(PASSWORD_BASED)
+    if first != 0x02 or len(content) != 1 or content[0] > 2:
         return False
-    return all(tag != 0x30 or der_elements(content) is not None for tag, content in inner)
+    if second == 0x02:
+        return all(tag == 0x02 for tag, _ in rest)
+    if second == 0x30:
+        return algorithm[:1] == b"\x06" and rest[:1] != [] and rest[0][0] == 0x04
+    return second == 0x04 and all(tag in (0xA0, 0xA1) for tag, _ in rest)
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -189,14 +215,22 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     armoured = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            body = re.sub(r"\\+n", "\n", re.sub(r"\\+r|\r", "", m[2]))  # line ends may be escaped
-            body = "".join(re.sub(r"""[\\"',]""", "", body).split("\n\n")[-1].split())
-            if _confirmed(_unbase64(body)):
+            whole = re.sub(r"\\+n", "\n", re.sub(r"\\+r|\r", "", m[2]))  # line ends may be escaped
+            body = _unbase64("".join(re.sub(r"""[\\"',]""", "", whole).split("\n\n")[-1].split()))
+            sealed = _ENCRYPTED.search(whole)
+            if _confirmed(body) or sealed and body and len(body) % (len(sealed[1]) // 2) == 0:
                 armoured.append(m.span())
                 out.append(("pem", *m.span()))
     free = lambda a, b: not any(x <= a and b <= y for x, y in armoured)
     if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token_header(m[0].split(".")[0])]
+        for m in _JWT.finditer(text):
+            # A header ends with a brace or white space, so most places need no decoding; the first that is one counts.
+            part = m[1]
+            ends = {k: k != 1 and _unbase64_any(part[-(k or 4) :])[-1:] in (b"}", b" ", b"\t", b"\r", b"\n") for k in range(4)}
+            for at in _JWT_START.finditer(part):
+                if ends[(len(part) - at.start()) % 4] and is_token_header(part[at.start() :]):
+                    out.append(("jwt", m.start() + at.start(), m.end()))
+                    break
     out += [x for x in _keys(text, _HEXES, _HEX_STARTS, 4, _unhex_any) if free(*x[1:])]
     out += [x for x in _keys(text, _BASE64, _BASE64_STARTS, 6, _unbase64_any) if free(*x[1:])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
