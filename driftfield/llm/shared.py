@@ -31,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session, else one of our own."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session, else, with a local
+    master, one of our own. A cluster has to name one: a folder of the driver's machine would be no other's."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if current is None:
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="driftfield-"))
         current = sc.getCheckpointDir()
     return where or current
@@ -67,6 +70,38 @@ def unpacked(df: DataFrame, columns: list[str], made: list[str], row: str = "__r
     return df.select(*[F.col(f"{row}.`{c}`").alias(c) for c in columns if c.lower() not in taken], *made)
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two independent 64-bit hashes of a whole row: equal rows have equal ones, whatever files or tasks they lie in."""
+    plain = lambda f: not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType))
+    values = [df[f"`{f.name}`"] if plain(f) else F.to_json(F.struct(df[f"`{f.name}`"].alias("v"))) for f in df.schema.fields]
+    nulls = F.concat(F.lit(""), *[F.when(v.isNull(), F.lit("0")).otherwise(F.lit("1")) for v in values])  # a hash passes over nulls
+    return [F.xxhash64(F.lit(way), nulls, *values) for way in (1, 2)]
+
+
+#: Distinct repeated rows up to which their keys are broadcast (24 bytes each), and copies that one task makes of a row at once.
+BROADCAST_REPEATS, COPIES = 100_000, 10_000
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``__row`` (the packed row), its keys ``__a`` and ``__b``, and ``__copy``: equal rows are numbered from 0.
+
+    Which rows stand more than once is counted on their keys; only those are grouped, and their copies are made again from
+    one row each, in blocks of ``COPIES``. So nothing here depends on how rows lie in files, and no task holds a group.
+    """
+    a, b = row_keys(df)
+    keyed = df.select(packed(df), a.alias("__a"), b.alias("__b"))
+    repeats = cut(keyed.groupBy("__a", "__b").agg(F.count("*").alias("__n")).where("__n > 1").select("__a", "__b"))
+    some = repeats.count()
+    if not some:
+        return keyed.withColumn("__copy", F.lit(0).cast("long"))
+    few = some <= BROADCAST_REPEATS
+    many = keyed.join(F.broadcast(repeats), ["__a", "__b"], "left_semi") if few else keyed
+    once = many.groupBy("__a", "__b").agg(F.first("__row").alias("__row"), F.count("*").alias("__n"))
+    blocks = once.select("__row", "__a", "__b", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long"))).alias("__from")).repartition("__a", "__b", "__from")
+    made = blocks.select("__row", "__a", "__b", F.explode(F.sequence("__from", F.least(F.col("__from") + COPIES, F.col("__n")) - 1)).alias("__copy"))
+    return made.union(keyed.join(F.broadcast(repeats), ["__a", "__b"], "left_anti").select("__row", "__a", "__b", F.lit(0).cast("long").alias("__copy"))) if few else made
+
+
 def lowered(text: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(text, UPPER, LOWER)

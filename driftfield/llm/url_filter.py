@@ -1,9 +1,10 @@
 """URL filters: host-suffix and path-prefix expressions, joined with the rules on short hash prefixes.
 
-Every URL is expanded into the expressions that some rule could have written: a suffix of the host at a label
-boundary and a prefix of the path, for the label counts and path lengths that occur among the rules. Expressions and
-rules meet in an equi-join on the first 32 bits of a SHA-256 digest; the full digest then confirms the match, and the
-longest rule decides. A URL pays for (label count, path length) pairs of the rule set, not for rules.
+Every URL is expanded into the expressions that some rule could have written: first the suffixes of its host at label
+boundaries, which meet the hosts of rules; where one does, the prefixes of its path that have a length which this host's
+rules have. Both equi-joins compare the first 32 bits of a SHA-256 digest and nothing else; what lies under such a short
+hash is then confirmed by the full digest, and the longest confirmed rule decides. A URL pays for its labels and for
+path lengths of hosts that rules name, not for rules. Equal hosts and paths are judged once.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.shared import lowered, packed, unpacked
+from driftfield.llm.shared import cut, lowered, packed, unpacked
 
 #: Rule sets of up to so many rows are broadcast (about 200 bytes a rule); larger ones are joined by a shuffle.
 BROADCAST_RULES = 100_000
-#: Hex digits of the digest that the join compares.
+#: Hex digits of the digest that the joins compare.
 SHORT = 8
 
 
@@ -33,17 +34,40 @@ def _digest(host: Column, path: Column) -> Column:
 
 
 def prepared_rules(rules: DataFrame) -> DataFrame:
-    """One row per (host, path): digests, the rule's text and verdict. Rows without a host or verdict say nothing and go;
-    where one expression has both verdicts, block holds. A null path is the empty one, which fits every path."""
+    """One row per (``h``, ``p``) with the verdict ``v``. Rows without a host or verdict say nothing and go; where one
+    expression has both verdicts, block holds. A null path is the empty one, which fits every path."""
     host, path = lowered(F.col("host")), F.coalesce(F.col("path"), F.lit(""))
-    return (
-        rules.select(host.alias("h"), path.alias("p"), F.col("verdict").alias("v"))
-        .where("h <> '' AND v IN ('allow', 'block')")
-        .groupBy("h", "p")
-        .agg(F.max("v").alias("v"))
-        .select("h", "p", "v", _digest(F.col("h"), F.col("p")).alias("full"))
-        .withColumn("short", F.substring("full", 1, SHORT))
-    )
+    return rules.select(host.alias("h"), path.alias("p"), F.col("verdict").alias("v")).where("h <> '' AND v IN ('allow', 'block')").groupBy("h", "p").agg(F.max("v").alias("v"))
+
+
+def _by_short(table: DataFrame, full: Column, *held: str) -> DataFrame:
+    """What lies under each short hash: ``short`` and the array ``under`` of (full digest, held columns). Rows under one
+    short hash that are not equal are chance collisions of 32 bits, hence few."""
+    each = table.select(full.alias("full"), *held)
+    out = each.groupBy(F.substring("full", 1, SHORT).alias("short")).agg(F.collect_list(F.struct("full", *held)).alias("under"))
+    return F.broadcast(out) if table.count() <= BROADCAST_RULES else out
+
+
+def _confirmed(probes: DataFrame, full: str, table: DataFrame, *held: str) -> DataFrame:
+    """``probes`` joined on the short hash, and then those entries under it whose full digest is the probe's."""
+    found = probes.join(table, F.substring(full, 1, SHORT) == F.col("short"))
+    hit = F.get(F.filter("under", lambda x: x["full"] == F.col(full)), F.lit(0))
+    return found.withColumn("__hit", hit).where("__hit IS NOT NULL").select(*probes.columns, *[F.col(f"__hit.{c}").alias(c) for c in held])
+
+
+def judged_paths(paths: DataFrame, ready: DataFrame) -> DataFrame:
+    """``host``, ``path``, ``rule`` and ``v`` of the (``host``, ``path``) rows that some rule fits; ``paths`` has each once."""
+    hosts = ready.groupBy("h").agg(F.sort_array(F.collect_set(F.length("p"))).alias("lengths"))
+    hosts, rules = _by_short(hosts, F.sha2("h", 256), "lengths"), _by_short(ready, _digest(F.col("h"), F.col("p")), "h", "p", "v")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    named = paths.where("host <> ''").select("host", "path", F.explode(suffixes).alias("suffix")).where("suffix <> ''").withColumn("full", F.sha2("suffix", 256))
+    named = _confirmed(named, "full", hosts, "lengths")
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: _digest(F.col("suffix"), F.substring(F.col("path"), F.lit(1), n)))
+    probes = named.select("host", "path", F.explode(prefixes).alias("full"))
+    found = _confirmed(probes, "full", rules, "h", "p", "v")
+    rule = F.struct((F.length("h") + F.length("p")).alias("a"), F.length("h").alias("b"), F.concat("h", "p").alias("rule"), F.col("v").alias("v"))
+    return found.groupBy("host", "path").agg(F.max(rule).alias("best")).select("host", "path", "best.rule", "best.v")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -53,24 +77,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ones (they can differ only in where the host ends) the one with the longer host. Null URLs and URLs without ``://``
     have an empty host and path and get ``default``, as have all that no rule fits. Repeated rows stay; an empty table
     gives an empty result; input columns called like a made one are replaced by it. Neither table's size is bounded:
-    the rules are broadcast only up to ``BROADCAST_RULES`` rows.
+    tables of rules or of judged paths are broadcast only up to ``BROADCAST_RULES`` rows. A URL that very many rows have is
+    judged once, and the join back splits the rows of a hot key (adaptive skew join).
     """
-    ready = prepared_rules(rules)
-    # (labels, path length) pairs that rules have: the shapes of all expressions that can match.
-    shapes = sorted((r[0], r[1]) for r in ready.select(F.size(F.split("h", r"\.")), F.length("p")).distinct().collect())
     host, path = host_and_path(F.col(f"`{url}`"))
-    base = pages.select(packed(pages), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("__id"))
-    if not shapes:
-        return unpacked(base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}), pages.columns, ["host", "path", "rule", "verdict"])
-    labels = F.split("host", r"\.")
-    shape = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in shapes])
-    fitting = F.filter(shape, lambda s: (F.col("host") != "") & (s["k"] <= F.size(labels)) & (s["n"] <= F.length("path")))
-    expanded = F.transform(fitting, lambda s: _digest(F.array_join(F.slice(labels, F.size(labels) - s["k"] + 1, s["k"]), "."), F.substring(F.col("path"), F.lit(1), s["n"])))
-    probes = base.select("*", F.explode_outer(expanded).alias("__full")).withColumn("__short", F.substring("__full", 1, SHORT))
-    ready = F.broadcast(ready) if ready.count() <= BROADCAST_RULES else ready
-    found = probes.join(ready, (F.col("__short") == F.col("short")) & (F.col("__full") == F.col("full")), "left")
-    rule = F.when(F.col("v").isNotNull(), F.struct((F.length("h") + F.length("p")).alias("a"), F.length("h").alias("b"), F.concat("h", "p").alias("rule"), F.col("v").alias("v")))
-    # All expressions of a URL are made in one task, so the partial aggregation leaves one row a URL to shuffle.
-    best = found.groupBy("__id").agg(F.first("__row").alias("__row"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(rule).alias("__best"))
-    made = best.withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.v", F.lit(default))})
+    base = pages.select(packed(pages), host.alias("host"), path.alias("path"))
+    judged = cut(judged_paths(base.select("host", "path").distinct(), cut(prepared_rules(rules))))
+    judged = judged.select(F.col("host").alias("jh"), F.col("path").alias("jp"), "rule", "v")
+    judged = F.broadcast(judged) if judged.count() <= BROADCAST_RULES else judged
+    made = base.join(judged, (F.col("host") == F.col("jh")) & (F.col("path") == F.col("jp")), "left").withColumn("verdict", F.coalesce("v", F.lit(default)))
     return unpacked(made, pages.columns, ["host", "path", "rule", "verdict"])
