@@ -89,7 +89,7 @@ class Patterns:
                 spans.append((at, at + searcher.m))
                 items.update(holders)
                 full |= searcher.m == WINDOW
-        return spans, {self.ids[i] for i in items}, full
+        return spans, {self.ids[i] for i in items if self.ids[i] is not None}, full
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,7 +121,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     of eight words occurs).
 
     Null and empty texts have no words and no hits, as have all texts where the benchmark is empty; items without words
-    match nothing; items with the same id count once. One row for every input row; input columns named like a made one
+    match nothing; items with the same id count once; one without an id hits words but is not named. One row for every input row; input columns named like a made one
     are replaced. The benchmark is the side that is sent around: its size is checked, and what goes beyond
     ``PART_BYTES`` is searched in further passes that add to the spans and items found so far.
     """

@@ -14,7 +14,6 @@ to ``train``: pages whose elements carry ``data-content="1"`` or ``"0"``.
 from __future__ import annotations
 
 import functools
-import html
 import math
 import random
 import re
@@ -25,20 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftfield.llm.markup import RAW, attributes, decoded, tokens
 from driftfield.llm.shared import arrow_mapped, byte_sizes, slices, texts_of
 
 #: Elements that are blocks, that have no end, whose inside is no text, and what a start tag closes.
 BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 SILENT = frozenset("head iframe math noembed noframes noscript object script style svg template title".split())
-RAW = frozenset("script style title iframe noembed noframes noscript textarea".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 APART_TAGS = frozenset("nav header footer aside form menu fieldset button select dialog textarea".split())
 
-_TOKEN = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|(?P<broken>/?[a-zA-Z][^>]*)(?:>|\Z)|(?P<odd>[!?/][^>]*)(?:>|\Z))""", re.DOTALL)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_LABEL = re.compile(r"""\bdata-content\s*=\s*["']?([01])""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -51,34 +47,28 @@ class Tree:
         self._parse(page)
 
     def _parse(self, page: str) -> None:
-        stack, link, at, n = [0], False, 0, len(page)
-        runs, skip = self.runs, 0
-        while at < n:
-            m = _TOKEN.search(page, at)
-            begin = m.start() if m else n
-            if begin > at and not skip:
-                runs.append((stack[-1], page[at:begin], link))
-            if not m:
-                break
-            at = m.end()
-            tag = m["tag"]
-            if tag is None:
-                continue
-            tag, end = tag.lower(), bool(m["end"])
-            if tag in SILENT:
-                if tag in RAW:
-                    if not end:
-                        close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                        at = close.end() if close else n
-                else:
-                    skip = max(0, skip - 1) if end else skip + 1 if not m["rest"].endswith("/") else skip
-                continue
-            if tag == "body":  # what comes before it has no text
+        """Open elements are kept by depth and, for each tag, as a list of depths, so that no tag has to search them."""
+        stack, depths, link, skip, runs = [0], {}, False, 0, self.runs
+
+        def close(depth: int) -> None:
+            while len(stack) > depth:
+                depths[self.tag[stack.pop()]].pop()
+
+        def last(tags: tuple[str, ...]) -> int:
+            return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
+        for text, tag, end, rest in tokens(page):
+            if not tag:
+                if not skip:
+                    runs.append((stack[-1], text, link))
+            elif tag in SILENT:
+                if tag not in RAW:
+                    skip = max(0, skip - 1) if end else skip + 1 if not rest.endswith("/") else skip
+            elif tag == "body":  # what comes before it has no text
                 skip = 0
                 if not end:
-                    self._name(0, m["rest"])
-                continue
-            if tag == "a":
+                    self._name(0, rest)
+            elif tag == "a":
                 link = not end
             elif tag == "br":
                 runs.append((stack[-1], " ", link))
@@ -86,38 +76,31 @@ class Tree:
                 runs.append((stack[-1], " ", False))
                 link = False
                 if end:
-                    if any(self.tag[i] == tag for i in stack[1:]):
-                        while self.tag[stack.pop()] != tag:
-                            pass
+                    if depths.get(tag):
+                        close(depths[tag][-1])
                     continue
-                if self.tag[stack[-1]] == "p" and tag not in ("option", "button", "select", "textarea"):
-                    stack.pop()
-                if tag in CLOSES:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] in LIMITS[tag]:
-                            break
-                        if self.tag[stack[k]] in CLOSES[tag]:
-                            del stack[k:]
-                            break
+                if self.tag[stack[-1]] == "p" and len(stack) > 1 and tag not in ("option", "button", "select", "textarea"):
+                    close(len(stack) - 1)
+                if tag in CLOSES and (k := last(CLOSES[tag])) > last(LIMITS[tag]):
+                    close(k)
                 self.parent.append(stack[-1])
                 self.tag.append(tag)
                 self.names.append("")
                 self.label.append(None)
-                self._name(len(self.tag) - 1, m["rest"])
-                if tag == "textarea":
-                    close = re.compile(r"</textarea\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                    at = close.end() if close else n
-                elif tag != "hr" and not m["rest"].endswith("/"):
+                self._name(len(self.tag) - 1, rest)
+                if tag not in ("textarea", "hr") and not rest.endswith("/"):
+                    depths.setdefault(tag, []).append(len(stack))
                     stack.append(len(self.tag) - 1)
 
     def _name(self, i: int, rest: str) -> None:
         if rest:
-            self.names[i] = " ".join(next(x for x in m.groups() if x is not None) for m in _NAMES.finditer(rest))
-            if m := _LABEL.search(rest):
-                self.label[i] = int(m[1])
+            own = dict(attributes(rest))
+            self.names[i] = " ".join(own[k] for k in own if k in ("class", "id", "role"))
+            if own.get("data-content") in ("0", "1"):
+                self.label[i] = int(own["data-content"])
 
     def text(self, keep: list[bool]) -> str:
-        return " ".join(html.unescape("".join([x if keep[i] else " " for i, x, _ in self.runs])).split())
+        return " ".join("".join([decoded(x) if keep[i] else " " for i, x, _ in self.runs]).split())
 
 
 def evidence(tree: Tree) -> list[list[str]]:
@@ -333,7 +316,8 @@ def extract(pages: DataFrame, model: Model | None = None, payload: str = "html",
     """``pages`` with the main text of every whole page; empty for null and empty pages, and for those without content.
 
     White space in a block becomes one blank, blocks follow in page order after one blank each, references are decoded.
-    One row for every input row, repeated ones included; an input column called like the text is replaced.
+    One row for every input row, repeated ones included; an empty table gives an empty result; an input column called like
+    the text is replaced. Pages of any length and nesting take time in proportion to their length.
     """
     model = model or default_model()
     weights, pairs = model.weights, model.pairs  # a few thousand numbers

@@ -25,6 +25,7 @@ def tokenizer_file() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ids each document has, and digests of its ids and of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codec = bpe.Codec(spark, tokenizer_file(), bpe.frequent_words(docs))
     made = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields
@@ -32,11 +33,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, errors=4)
     return found.select("doc_id", simhash.hexed(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and a digest of base spans, and all spans, of each document."""
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -45,38 +48,45 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest fitting rule and verdict of each page's URL."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, failure bits and verdicts of two policies for each document."""
     book = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = quality.judged(quality.judged(book, "v1", "kept"), "base", "base_kept")
     return base.select("doc_id", *quality.MEASURES, (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page and its length."""
     found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and a digest of the benchmark items that occur, for each document."""
     found = decontaminate.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction for each document, from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document, by the law of equal counts."""
     rows = sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     return rows.select("doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metadata and a conversion record for each page."""
     return warc.derived_records(warc.responses(table(spark, sf_dir, "pages")))
 
 

@@ -3,8 +3,8 @@
 Confirmed toxic texts are the positives, texts of whatever kind the unlabelled. The risk estimator corrects the
 unlabelled part by the class prior: risk = prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), and
 a step that would make the second term negative goes the other way (Kiryo et al., 2017). The classifier is linear over
-the presence of words and of word beginnings; which of them count is chosen on the cluster by how much more often they
-stand in positives than in unlabelled texts. Only chosen features and bounded samples reach the driver.
+the presence of words; which of them count is chosen on the cluster by how much more often they stand in positives than in
+unlabelled texts. Only chosen features and bounded samples reach the driver.
 """
 
 from __future__ import annotations
@@ -26,10 +26,6 @@ POSITIVES, UNLABELLED = 20_000, 40_000
 #: Features of a model, and the positives that must have one: so many and this share of them.
 FEATURES = 2_048
 RARE, RARE_SHARE = 3, 0.005
-#: Lengths of the word beginnings that are features besides whole words.
-BEGINNINGS: tuple[int, ...] = ()
-#: Words that a worker remembers the features of before it starts afresh.
-REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,12 +35,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def word_features(word: str) -> list[str]:
-    return [f"={word}", *(word[:n] for n in BEGINNINGS if len(word) > n)]
-
-
 def text_features(text: str | None) -> set[str]:
-    return {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
+    """The words of a text in lower case: runs of letters."""
+    return set(_WORD.findall((text or "").lower()))
 
 
 @dataclass
@@ -95,7 +88,8 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model:
     """A model from labels that aren't held out. Labels that are null, or of ids that are null or in no text, say nothing;
-    an id with both labels counts as toxic. Without positives the model knows the prior alone."""
+    an id with both labels counts as toxic; of rows with the same id the least text is learned from. Without positives, or
+    with an empty table of either kind, the model knows the prior alone."""
     i = F.col(f"`{doc_id}`")
     known = labels.select(i.alias("i"), F.col(f"`{toxic}`").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
     n, prior = known.agg(F.count("*"), F.avg(F.col("y").cast("double"))).first()
@@ -109,6 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids = ids.groupBy("i").agg(F.max("p").alias("positive"), F.max(~F.col("p")).alias("unlabelled"))
     # At most positives + unlabelled ids, hence a known bound.
     sample = docs.select(i.alias("i"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(ids), "i")
+    if not sample.groupBy("i").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        sample = sample.groupBy("i").agg(F.min("t").alias("t"), F.first("positive").alias("positive"), F.first("unlabelled").alias("unlabelled"))
 
     def named(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         for a, b in slices(byte_sizes(columns[0]), 1 << 20):
@@ -130,22 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _finder(features: list[str], key: str):
-    """From a text to the places of its features in ``features``."""
-    at, known = worker_tool(f"toxicity-{key}", lambda: ({f: k for k, f in enumerate(features)}, {}))
-
-    def found(text: str | None) -> list[int]:
-        out: set[int] = set()
-        for w in set(_WORD.findall((text or "").lower())):
-            hits = known.get(w)
-            if hits is None:
-                hits = known[w] = tuple(at[f] for f in word_features(w) if f in at)
-            if hits:
-                out.update(hits)
-        if len(known) > REMEMBERED:
-            known.clear()
-        return sorted(out)
-
-    return found
+    """From a text to the places of its features in ``features``, ascending."""
+    at = worker_tool(f"toxicity-{key}", lambda: {f: k for k, f in enumerate(features)})
+    return lambda text: sorted(at[w] for w in at.keys() & text_features(text))
 
 
 def _key(features: list[str]) -> str:

@@ -16,6 +16,8 @@ from driftfield.llm.shared import cut, lowered, packed, unpacked
 
 #: Rule sets of up to so many rows are broadcast (about 200 bytes a rule); larger ones are joined by a shuffle.
 BROADCAST_RULES = 100_000
+#: The same for judged paths, which grow with the input.
+BROADCAST_PATHS = 10_000
 #: Hex digits of the digest that the joins compare.
 SHORT = 8
 
@@ -77,13 +79,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ones (they can differ only in where the host ends) the one with the longer host. Null URLs and URLs without ``://``
     have an empty host and path and get ``default``, as have all that no rule fits. Repeated rows stay; an empty table
     gives an empty result; input columns called like a made one are replaced by it. Neither table's size is bounded:
-    tables of rules or of judged paths are broadcast only up to ``BROADCAST_RULES`` rows. A URL that very many rows have is
+    tables are broadcast only up to ``BROADCAST_RULES`` rules and ``BROADCAST_PATHS`` paths. A URL that very many rows have is
     judged once, and the join back splits the rows of a hot key (adaptive skew join).
     """
     host, path = host_and_path(F.col(f"`{url}`"))
     base = pages.select(packed(pages), host.alias("host"), path.alias("path"))
     judged = cut(judged_paths(base.select("host", "path").distinct(), cut(prepared_rules(rules))))
     judged = judged.select(F.col("host").alias("jh"), F.col("path").alias("jp"), "rule", "v")
-    judged = F.broadcast(judged) if judged.count() <= BROADCAST_RULES else judged
+    judged = F.broadcast(judged) if judged.count() <= BROADCAST_PATHS else judged
     made = base.join(judged, (F.col("host") == F.col("jh")) & (F.col("path") == F.col("jp")), "left").withColumn("verdict", F.coalesce("v", F.lit(default)))
     return unpacked(made, pages.columns, ["host", "path", "rule", "verdict"])

@@ -45,6 +45,7 @@ def verdict(url, default="allow"):
 @pytest.mark.parametrize("limit", [url_filter.BROADCAST_RULES, 0])
 def test_urls_equal_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
+    monkeypatch.setattr(url_filter, "BROADCAST_PATHS", limit)
     pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(URLS)], "page_id long, url string, Host string")
     got = url_filter.judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"))
     assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]

@@ -52,5 +52,18 @@ def test_odd_rows(spark):
     out = toxicity.scored(d, toxicity.fit(d, y)).collect()
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.scored(d.where("false"), toxicity.fit(d, y)).count() == 0
+    assert toxicity.fit(d, y).features == toxicity.fit(d.union(d), y).features  # a repeated id is learned from once
     for none in (y.where("false"), y.where("toxic = 0")):
         assert 0 <= toxicity.scored(d.limit(1), toxicity.fit(d, none)).first()["score"] < 0.51
+
+
+def test_the_query_scores_held_out_rows_it_never_saw(spark):
+    from driftfield.llm import registry
+
+    sf = "/root/testdata/sf0.01"
+    out = {r["doc_id"]: r for r in registry.op8_toxicity(spark, sf).collect()}
+    assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for r in out.values():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
+    held = [(out[r["doc_id"]]["predicted"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if out[r["doc_id"]]["held_out"]]
+    assert np.mean([p == y for p, y in held]) > 0.95
