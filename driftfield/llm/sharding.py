@@ -22,7 +22,7 @@ from driftfield.llm.shared import numbered, unpacked, written
 LAW = "rows"
 #: A bucket is so small a part of a task's share of executor memory, within these bounds in bytes: the gathered rows, their
 #: array and its permuted copy are held at once, and rows are larger in memory than their texts.
-SHARE, LEAST_BYTES, MOST_BYTES = 16, 8 << 20, 512 << 20
+SHARE, LEAST_BYTES, MOST_BYTES = 32, 8 << 20, 512 << 20
 #: Bucket manifests of up to so many rows (24 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
 
@@ -56,7 +56,8 @@ def shuffled_buckets(docs: DataFrame, seed: int = 42, bucket_bytes: int | None =
     n = max(1, math.ceil(total / (bucket_bytes or bucket_size(docs.sparkSession))))
     own = ["__a", "__b", "__copy"]
     spread = numbered(docs).withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(n)).cast("int")).withColumn("__h", F.xxhash64(F.lit(~seed), *own))
-    inside = spread.repartition(n, "__bucket").sortWithinPartitions("__bucket", "__h", *own)
+    # The bucket's number is the partition's: no task holds two.
+    inside = spread.repartitionById(n, F.col("__bucket")).sortWithinPartitions("__bucket", "__h", *own)
     permuted = inside.groupBy("__bucket").agg(F.collect_list("__row").alias("rows")).select("__bucket", F.shuffle("rows", seed).alias("rows"))
     placed = permuted.select("__bucket", F.posexplode("rows").alias("__pos", "__row"))
     return written(placed, "shuffled-buckets"), n
