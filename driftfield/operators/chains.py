@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftfield.operators.rules import faults, report
+from driftfield.sources.storage import cut
 
 
 def walked(chunks: DataFrame, most: int | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def walked(chunks: DataFrame, most: int | None = None) -> DataFrame:
     while span < most:
         nxt = p.select(F.col("offset").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
         p = p.join(nxt, "to", "left").select("offset", F.col("to2").alias("to"), (F.col("steps") + F.col("steps2")).alias("steps"), (~F.col("to").eqNullSafe(F.col("to2"))).alias("moved"))
-        p = p.localCheckpoint()  # or the plan would double each round
+        p = cut(p)  # or the plan would double each round
         if p.where("moved").isEmpty():
             break
         p, span = p.drop("moved"), 2 * span
