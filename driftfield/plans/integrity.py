@@ -74,41 +74,6 @@ def E06_E07_window_only(spark, sf):
     return state.moved(state.weighted(g, F.lit(13.5)), F.lit(13.5)).select("gaussian_id", micro(F.col("cx")).alias("cx"), micro(F.col("opacity")).alias("opacity"))
 
 
-#: Metres in the named units of length.
-UNITS = {"metre": 1.0, "centimetre": 0.01, "millimetre": 0.001, "inch": 0.0254, "foot": 0.3048}
-FRAMES = [("world", "metre", 0.0), ("rig", "inch", 0.0), ("own", "metre", 2.5), ("odd", "furlong", 0.0)]
-
-
-@query("SELECT * FROM (VALUES ('world', 1000000), ('rig', 25400), ('own', 2500000), ('odd', NULL)) v(name, micrometres)", whole=True)
-def F18_F19_metres_per_unit(spark, sf):
-    f = S.values(spark, FRAMES, "name string, unit string, metres double")
-    table = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
-    return f.select("name", micro(F.when(F.col("metres") > 0, F.col("metres")).otherwise(F.try_element_at(table, F.col("unit")))).alias("micrometres"))
-
-
-OBJECTS = [(0, "sky", 2, [1.0, 2.0]), (1, "car", 2, [1.0]), (2, "cat", 2, [1.0, float("nan")]), (2, "cat", 2, [1.0, 1.0])]
-TRACKS = [(1, 0, 0.0, 1.0, "linear"), (1, 1, 0.0, 1.0, "linear"), (0, 0, 0.0, 1.0, "linear"), (3, 0, 1.0, 0.5, "linear"), (4, 0, 1.0, 1.0, "spline")]
-
-
-@query("SELECT * FROM (VALUES ('duplicate-object-id', '2'), ('invalid-object-embedding-shape', '1'), ('non-finite-object-value', '2'), ('invalid-object-id', '0'), ('non-increasing-track-time', '1'), ('track-names-background', '0'), ('non-unit-track-quaternion', '3'), ('unsupported-trajectory-interpolation', '4')) v(rule, item)", whole=True)
-def V21_V22_object_rules(spark, sf):
-    o = S.values(spark, OBJECTS, "object_id long, label string, dim int, embedding array<double>")
-    t = S.values(spark, TRACKS, "object_id long, i int, t double, norm double, interpolation string")
-    from pyspark.sql import Window
-
-    before = F.lag("t").over(Window.partitionBy("object_id").orderBy("i"))
-    return rules.report(
-        rules.duplicates(o, "object_id", "duplicate-object-id"),
-        rules.faults(o, "invalid-object-embedding-shape", "object_id", F.size("embedding") != F.col("dim")),
-        rules.faults(o, "non-finite-object-value", "object_id", F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))),
-        rules.faults(o, "invalid-object-id", "object_id", "object_id = 0"),
-        rules.faults(t.withColumn("before", before), "non-increasing-track-time", "object_id", "t <= before"),
-        rules.faults(t, "track-names-background", "object_id", "object_id = 0"),
-        rules.faults(t, "non-unit-track-quaternion", "object_id", F.abs(F.col("norm") - 1) > 1e-3),
-        rules.faults(t, "unsupported-trajectory-interpolation", "object_id", ~F.col("interpolation").isin("linear", "step")),
-    ).select("rule", "item")
-
-
 @query("SELECT gaussian_id, count(*) AS changes, sum(CASE WHEN b_x <> p THEN 1 ELSE 0 END)::BIGINT AS moved FROM (SELECT *, lag(b_x) OVER (PARTITION BY gaussian_id, step // 4 ORDER BY step) AS p FROM sc) GROUP BY gaussian_id")
 def V18_invariants_within_groups(spark, sf):
     from pyspark.sql import Window

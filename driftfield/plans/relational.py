@@ -325,33 +325,6 @@ def J04_E04_E05_state_with_tracks(spark, sf):
     return s.select("gaussian_id", *mu("cx", "cy"))
 
 
-@query("SELECT object_id, i FROM (SELECT *, lag(t) OVER (PARTITION BY object_id ORDER BY i) AS p FROM (SELECT * FROM tr UNION ALL SELECT object_id, interpolation, 9, 20e0, qx, qy, qz, qw, tx, ty, tz FROM tr WHERE i = 0)) WHERE t <= p")
-def W06_increasing_times(spark, sf):
-    s = S.track_samples(spark)
-    bad = s.unionByName(s.where("i = 0").withColumns({"i": F.lit(9), "t": F.lit(20.0)}))
-    return asof.with_next(bad.withColumn("o", F.col("i")), "object_id", "o").withColumn("p", F.lag("t").over(Window.partitionBy("object_id").orderBy("i"))).where("t <= p").select("object_id", "i")
-
-
-SENSORS = [("cam0", "rigA", 0.0), ("cam1", "rigB", 90.0), ("lidar", "", 45.0), ("lost", "rigZ", 0.0)]
-
-
-@query("SELECT * FROM (VALUES ('lost', 'rigZ')) v(item, rig)", whole=True)
-def J05_J06_dangling_sensors(spark, sf):
-    sensors = S.values(spark, SENSORS, "name string, rig string, yaw double")
-    rigs = S.values(spark, [("rigA",), ("rigB",)], "name string")
-    return rules.dangling(sensors, "rig", rigs, "name", "unknown-rig", "name").select("item", F.substring_index("message", " ", -1).alias("rig"))
-
-
-AUDIO = [(1, 2.0, 4.0, True), (2, 2.0, 4.0, False), (3, 20.0, 4.0, True), (4, 12.0, 0.0, False), (5, 1.0, 20.0, False)]
-
-
-@query("SELECT source_id, t >= s AND (l OR t - s < d) AS active, round_even(CASE WHEN l AND d > 0 THEN CASE WHEN t <= s THEN 0e0 ELSE fmod(fmod(fmod(t, d) - fmod(s, d), d) + d, d) END ELSE least(greatest(0e0, t - s), greatest(d, 0e0)) END * 1e6, 0)::BIGINT AS local_time FROM (SELECT source_id, s::DOUBLE AS s, d::DOUBLE AS d, l, 13.5e0 AS t FROM (VALUES (1, 2, 4, true), (2, 2, 4, false), (3, 20, 4, true), (4, 12, 0, false), (5, 1, 20, false)) v(source_id, s, d, l))", whole=True)
-def F16_F17_audio_state(spark, sf):
-    a = S.values(spark, AUDIO, "source_id long, start double, duration double, loop boolean")
-    args = [F.lit(T0), F.col("start"), F.col("duration"), F.col("loop")]
-    return a.select("source_id", temporal.active(*args).alias("active"), micro(temporal.local_time(*args)).alias("local_time"))
-
-
 LAST, CADENCE = 24, 4
 
 

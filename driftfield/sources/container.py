@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,8 @@ RECORD, STREAM = "<BQ", "<BBBBBIQ"
 RECORDS = "path string, ordinal int, opcode int, offset long, length long, content binary, fault string"
 COLUMNS = [f"b_{a}" + (f"_{k}" if n > 1 else "") for a, (_, n) in ATTRIBUTES.items() for k in range(n)]
 CHUNKS = "path string, chunk int, t0 double, t1 double, level int, row int, " + ", ".join(f"{c} long" for c in COLUMNS) + ", fault string"
-HEADS = "path string, profile string, library string, duration double, gaussian_count long, cutoff double, temporal_model string, sh_degree int, flags int"
+HEADS = "path string, profile string, library string, duration double, gaussian_count long, cutoff double, temporal_model string, sh_degree int, flags int, aabb array<double>"
+INDEX = "path string, t0 double, t1 double, chunk_offset long, chunk_length long, gaussian_count long, bands array<struct<band:int,offset:long,length:long>>, kind int, delta_mode int, reference long, keyframe long, depth int, live_count long"
 GRIDS = "path string, scheme string, ox double, oy double, oz double, pos double, scale_log double, rot double, rgb double, alpha double, motion double, time double, sigma_log double, sh int"
 
 
@@ -202,13 +203,23 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
 
+def attempted(parse, content: bytes) -> tuple[list[tuple], str | None]:
+    """The rows that ``parse`` makes of a record, all of them or none, and the fault that stops it."""
+    try:
+        return list(parse(content)), None
+    except Fault as e:
+        return [], str(e)
+    except (struct.error, ValueError, OverflowError):
+        return [], "malformed-record"
+
+
 def _parsed(recs: DataFrame, kind: str, parse, ddl: str) -> DataFrame:
-    """Rows that ``parse`` makes of each record of a kind."""
+    """Rows that ``parse`` makes of each record of a kind; a record that it can't read has none, see ``unreadable``."""
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *row) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in parse(c)]
+            rows = [(p, *row) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in attempted(parse, c)[0]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], names=schema.names)
 
     return recs.where((F.col("opcode") == OPCODES[kind]) & F.col("fault").isNull()).select("path", "content").mapInArrow(run, ddl)
@@ -218,8 +229,8 @@ def _head(content: bytes):
     r = Reader(content)
     profile, library = r.string(), r.string()
     duration, count, cutoff = r.get("dQd")
-    model, _ = r.string(), r.get("6d")
-    yield profile, library, duration, count, cutoff, model, *r.get("BB")
+    model, box = r.string(), list(r.get("6d"))
+    yield profile, library, duration, count, cutoff, model, *r.get("BB"), box
 
 
 def _grid(content: bytes):
@@ -235,7 +246,9 @@ def _windows(content: bytes):
 
 def _index(content: bytes):
     r = Reader(content)
-    yield r.get("ddQQI")
+    head = r.get("ddQQI")
+    bands = [dict(zip(("band", "offset", "length"), r.get("BQQ"))) for _ in range(r.get("I"))]
+    yield *head, bands, *(r.get("BBQQHQ") if r.left() >= struct.calcsize("<BBQQHQ") else [None] * 6)
 
 
 def headers(recs: DataFrame) -> DataFrame:
@@ -251,8 +264,20 @@ def windows(recs: DataFrame) -> DataFrame:
 
 
 def chunk_index(recs: DataFrame) -> DataFrame:
-    """What a seek needs: interval, place and size of each chunk."""
-    return _parsed(recs, "ChunkIndex", _index, "path string, t0 double, t1 double, chunk_offset long, chunk_length long, gaussian_count long")
+    """What a seek needs: interval, place and size of each chunk and its bands; for keyframe-and-delta files the references."""
+    return _parsed(recs, "ChunkIndex", _index, INDEX)
+
+
+def unreadable(recs: DataFrame, parsers: dict[str, Callable]) -> DataFrame:
+    """(path, ordinal, code) of records that their kind's parser can't read."""
+    by = {OPCODES[k]: p for k, p in parsers.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, i, fault) for p, i, o, c in zip(*[x.to_pylist() for x in batch.columns]) if (fault := attempted(by[o], c)[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["path", "ordinal", "code"])
+
+    return recs.where(F.col("opcode").isin(*by) & F.col("fault").isNull()).select("path", "ordinal", "opcode", "content").mapInArrow(run, "path string, ordinal int, code string")
 
 
 def bins(recs: DataFrame) -> DataFrame:

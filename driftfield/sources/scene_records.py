@@ -135,24 +135,61 @@ def tracks(recs: DataFrame) -> DataFrame:
     return samples(recs, "ObjectTrack").join(how, ["path", "object_id"])
 
 
+def _objects(content: bytes) -> Iterator[tuple]:
+    r = Reader(content)
+    n, dim = r.get("IH")
+    for _ in range(n):
+        who, label, anchor = r.get("I"), r.string(), list(r.get("3f"))
+        flag = r.get("B")
+        if flag > 1:
+            raise Fault("invalid-object-presence-flag")
+        moves = list(r.get("9f")) if flag else None
+        flag = r.get("B") if dim else 0
+        if flag > 1:
+            raise Fault("invalid-object-presence-flag")
+        yield who, label, anchor, moves, (list(np.frombuffer(r.take(4 * dim), "<f4").tolist()) if flag else None), dim
+
+
 def objects(recs: DataFrame) -> DataFrame:
-    """Labelled objects: anchor, optional dynamics (nine numbers) and optional embedding."""
+    """Labelled objects: anchor, optional dynamics (nine numbers), optional embedding and the embeddings' declared width."""
+    return _parsed(recs, "ObjectTable", _objects, "path string, object_id long, label string, anchor array<float>, dynamics array<float>, embedding array<float>, dim int")
 
-    def parse(content: bytes) -> Iterator[tuple]:
-        r = Reader(content)
-        n, dim = r.get("IH")
-        for _ in range(n):
-            who, label, anchor = r.get("I"), r.string(), list(r.get("3f"))
-            flag = r.get("B")
-            if flag > 1:
-                raise Fault("invalid-object-presence-flag")
-            moves = list(r.get("9f")) if flag else None
-            flag = r.get("B") if dim else 0
-            if flag > 1:
-                raise Fault("invalid-object-presence-flag")
-            yield who, label, anchor, moves, (list(np.frombuffer(r.take(4 * dim), "<f4").tolist()) if flag else None)
-
-    return _parsed(recs, "ObjectTable", parse, "path string, object_id long, label string, anchor array<float>, dynamics array<float>, embedding array<float>")
+
+def object_table(entries: list[tuple], dim: int) -> bytes:
+    """A whole record of (id, label, anchor, dynamics or None, embedding or None) entries."""
+    out = struct.pack("<IH", len(entries), dim)
+    for who, label, anchor, moves, embedding in entries:
+        out += struct.pack("<I", who) + _put("s", label) + struct.pack("<3f", *anchor) + (struct.pack("<B9f", 1, *moves) if moves else b"\0")
+        if dim:
+            out += struct.pack(f"<B{dim}f", 1, *embedding) if embedding else b"\0"
+    return struct.pack(RECORD, OPCODES["ObjectTable"], len(out)) + out
+
+
+def parsers() -> dict:
+    """What reads each kind of descriptive record."""
+
+    def plain(kind: str):
+        return lambda content: [tuple(decoded(kind, content)[0])]
+
+    return {kind: plain(kind) for kind in LAYOUTS} | {"ObjectTable": _objects}
+
+
+def encoded_rows(rows: DataFrame, kind: str) -> DataFrame:
+    """(``file``, ``key``, ``content``) of records made from rows that have ``file``, ``key`` and the layout's fields; the
+    repeated fields are an array ``rows`` of structs."""
+    own, group = grammar(kind)
+    names = [n for n, _ in own if n is not None]
+    given = rows.select("file", F.col("key").cast("long").alias("key"), F.struct(*names, *(["rows"] if group else [])).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for v in batch.column(2).to_pylist():
+                values = [dict(v[n]) if f == "m" else v[n] for n, f in own if n is not None]
+                made.append(encoded(kind, values, [[g[n] for n, _ in group] for g in v["rows"]] if group else []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["file", "key", "content"])
+
+    return given.mapInArrow(run, "file string, key long, content binary")
 
 
 def harmonics(recs: DataFrame, most: int = 3) -> DataFrame:
