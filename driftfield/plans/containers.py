@@ -141,7 +141,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         given = relations(spark, sf)
         parts = [(_tables(given[kind]) if kind == "ObjectTable" else R.encoded_rows(given[kind], kind)).withColumn("rank", F.lit(10 + rank)) for kind, rank in RANKS.items()]
         r = F.col("r_regionkey")
-        head = _front(F.when(r == 4, "moving-mesh").otherwise("gaussian-birth"), F.when(r == 3, "vector").otherwise("scalar"))
+        head = _front(F.when(r == 4, "moving-mesh").otherwise("gaussian-birth"), F.when(r == 3, "vector").otherwise(C.SCHEME))
         front = S.read(spark, sf, "region").select(_file(r).alias("file"), F.lit(0).cast("long").alias("key"), head.alias("content"), F.lit(0).alias("rank"))
         files = assembled(reduce(DataFrame.unionByName, [*parts, front]))
         return C.records(spark, put_files(files, folder(spark, "described"))).withColumn("file", F.element_at(F.split("path", "/"), -1)).cache()
@@ -380,7 +380,7 @@ def V02_V19_models_and_grids(spark, sf):
     bad = rules.not_finite(grids, "file", steps, "quantization-not-finite")
     return rules.report(
         rules.faults(C.headers(recs).withColumn("file", name), "unknown-temporal-model", "file", "temporal_model NOT IN ('gaussian-birth', 'keyframe-delta')", F.col("temporal_model")),
-        rules.faults(grids, "unknown-quantization-scheme", "file", "scheme <> 'scalar'", F.col("scheme")),
+        rules.faults(grids, "unknown-quantization-scheme", "file", F.col("scheme") != C.SCHEME, F.col("scheme")),
         bad.withColumn("message", F.substring_index("message", " ", 1)),
     ).select("rule", "item", "message")
 

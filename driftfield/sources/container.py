@@ -352,8 +352,8 @@ def put_record(kind: str, content: bytes) -> bytes:
     return struct.pack(RECORD, OPCODES[kind], len(content)) + content
 
 
-def binned(g: DataFrame, step: dict[str, float], origin: tuple[float, float, float], cutoff: float = temporal.CUTOFF) -> DataFrame:
-    """Bins of elements in real units (the columns of ``gaussians``), with their window's bounds."""
+def binned(g: DataFrame, step: dict[str, float], origin: tuple[float, float, float], cutoff: float = temporal.CUTOFF, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Bins of elements in real units (the columns of ``gaussians``), with their window's bounds; a ``source_index`` is kept."""
     never = F.col("sigma_t") == F.lit(float("inf"))
     q = D.quantize
     one = F.when(never, F.lit(0).cast("long")).otherwise(q(F.log(F.when(never, F.lit(1.0)).otherwise(F.col("sigma_t"))), step["sigma_log"]))
@@ -367,56 +367,122 @@ def binned(g: DataFrame, step: dict[str, float], origin: tuple[float, float, flo
     made |= {"b_color_0": green, "b_color_1": dr, "b_color_2": db, "b_opacity": q(F.col("a"), step["alpha"])}
     made |= {f"b_motion_{k}": q(F.col(f"v{x}"), F.col("motion_step")) for k, x in enumerate("xyz")}
     made |= {"b_mu_t": q(F.col("mu_t"), F.col("mu_step")), "b_sigma_t": F.col("b_sigma_t"), "b_flags": F.when(never, F.lit(1)).otherwise(F.lit(0)).cast("long"), "b_object_id": D.to_signed32(F.col("object_id"))}
-    return g.select("win_lo", "win_hi", *[c.alias(n) for n, c in made.items()])
+    if "source_index" in g.columns:
+        made |= {"b_source_group": F.lit(0).cast("long"), "b_source_index": F.col("source_index").cast("long")}
+    return g.select("win_lo", "win_hi", *keep, *[c.alias(n) for n, c in made.items()])
 
 
-def write(g: DataFrame, path: str, duration: float, profile: str = "default", cutoff: float = temporal.CUTOFF, library: str = "driftfield") -> None:
-    """Writes one scene: a chunk for each window, coded on the cluster, streamed to the file one chunk at a time.
+#: Elements of a chunk on average where a node holds more.
+CHUNK_ROWS = 250_000
+#: Fixed value: the name of the grids that are used here.
+SCHEME = "uniform-v1"
+
+
+def morton_of(positions: np.ndarray) -> np.ndarray:
+    """Morton codes of rows of three bins, over their own box."""
+    low, high = positions.min(axis=0), positions.max(axis=0)
+    cells = ((positions - low) * (((1 << 21) - 1) / np.maximum(high - low, 1))).astype(np.uint64)
+    out = np.zeros(len(positions), dtype=np.uint64)
+    for bit in range(21):
+        for axis in range(3):
+            out |= ((cells[:, axis] >> np.uint64(bit)) & np.uint64(1)) << np.uint64(3 * bit + axis)
+    return out
 
-    Windows with very many elements are cut into several chunks of ``CHUNK_ROWS`` rows on average.
-    """
-    spark = g.sparkSession
-    s = g.agg(F.count("*").alias("n"), *[F.min(f"p{x}").alias(f"lo{x}") for x in "xyz"], *[F.max(f"p{x}").alias(f"hi{x}") for x in "xyz"], F.percentile_approx(F.greatest("sx", "sy", "sz"), 0.5).alias("scale")).first()
-    origin = tuple(float(s[f"lo{x}"] or 0.0) for x in "xyz")
-    step = D.steps(D.bounds(profile, float(s["scale"] or 1e-3)))
-    sizes = g.groupBy("win_lo", "win_hi").agg(F.count("*").alias("n")).orderBy("win_lo", "win_hi").collect()  # one row a window
-    table = spark.createDataFrame([(float(r["win_lo"]), float(r["win_hi"]), i, max(1, r["n"] // CHUNK_ROWS)) for i, r in enumerate(sizes)] or [(0.0, 0.0, 0, 1)], "win_lo double, win_hi double, b_window_index long, parts long")
-    rows = binned(g, step, origin, cutoff).join(F.broadcast(table), ["win_lo", "win_hi"]).withColumn("part", F.pmod(F.xxhash64("b_position_0", "b_position_1", "b_position_2", "b_mu_t"), F.col("parts")))
-    names = [c for c in rows.columns if c.startswith("b_")]
+
+def _chunk_coder(names: list[str], bands: list[int]):
+    """From a chunk's rows to its record and those of its bands; the same whatever order the rows came in."""
 
     def code(key, pdf):
         import pandas as pd
 
-        order = pdf.sort_values(names)  # the same chunk whatever order its rows came in
+        pdf = pdf.sort_values([c for c in names if not pdf[c].isna().all()], ignore_index=True)
+        pdf = pdf.iloc[np.argsort(morton_of(pdf[[f"b_position_{k}" for k in range(3)]].to_numpy(dtype=np.int64)), kind="stable")]
         out = b""
         for a, (i, n) in ATTRIBUTES.items():
             cols = [f"b_{a}" + (f"_{k}" if n > 1 else "") for k in range(n)]
-            if cols[0] in order:
-                out += coded(i, order[cols].to_numpy())
-        lo, hi = float(pdf["win_lo"].iloc[0]), float(pdf["win_hi"].iloc[0])
-        content = struct.pack("<ddII", lo, hi, 0, len(pdf)) + put_string("") + struct.pack("<QQ", len(out), len(out)) + out
-        return pd.DataFrame({"t0": [lo], "t1": [hi], "part": [int(key[1])], "n": [len(pdf)], "content": [content]})
-
-    chunks = rows.groupBy("b_window_index", "part").applyInPandas(code, "t0 double, t1 double, part long, n long, content binary")
-    aabb = [float(s[f"lo{x}"] or 0.0) for x in "xyz"] + [float(s[f"hi{x}"] or 0.0) for x in "xyz"]
-    head = put_string(profile) + put_string(library) + struct.pack("<dQd", duration, s["n"], cutoff) + put_string("gaussian-birth") + struct.pack("<6dBB", *aabb, 0, 0) + struct.pack("<I", 0)
-    grid = put_string("scalar") + struct.pack("<11dB", *origin, *[step[k] for k in ("pos", "scale_log", "rot", "rgb", "alpha", "motion", "time", "sigma_log")], step["sh"]) + struct.pack("<I", 0)
-    front = MAGIC + put_record("Header", head) + put_record("Quantization", grid) + put_record("WindowTable", struct.pack("<I", len(sizes)) + b"".join(struct.pack("<dd", r["win_lo"], r["win_hi"]) for r in sizes))
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-    at, entries = len(front), b""
-    try:
-        out.write(bytearray(front))
-        for r in chunks.orderBy("t0", "t1", "part").toLocalIterator():
-            block = put_record("Chunk", bytes(r["content"]))
-            out.write(bytearray(block))
-            entries += put_record("ChunkIndex", struct.pack("<ddQQII", r["t0"], r["t1"], at, len(block), r["n"], 0))
-            at += len(block)
-        footer = put_record("Footer", struct.pack("<QQI", at, 0, zlib.crc32(entries)))
-        out.write(bytearray(entries + footer + MAGIC))
-    finally:
-        out.close()
-
-
-#: Elements of a chunk on average where a window holds more.
-CHUNK_ROWS = 250_000
+            if cols[0] in pdf:
+                out += coded(i, pdf[cols].to_numpy())
+        lo, hi, level = float(key[0]), float(key[1]), int(key[2])
+        content = struct.pack("<ddII", lo, hi, level, len(pdf)) + put_string("") + struct.pack("<QQ", len(out), len(out)) + out
+        codes = np.array(pdf["sh"].tolist(), dtype=np.int64) if bands else None
+        more, at = [], 0
+        for band in bands:
+            width = 3 * (2 * band + 1)
+            more.append(bytes([band]) + coded(OPCODES["ShBandStream"], codes[:, at : at + width]))
+            at += width
+        return pd.DataFrame({"t0": [lo], "t1": [hi], "level": [level], "part": [int(key[3])], "n": [len(pdf)], "content": [content], "bands": [more]})
+
+    return code
+
+
+def grid_record(step: dict[str, float], origin: tuple[float, float, float], depths: dict[int, int] | None = None, scheme: str = SCHEME) -> bytes:
+    content = put_string(scheme) + struct.pack("<11dB", *origin, *[step[k] for k in ("pos", "scale_log", "rot", "rgb", "alpha", "motion", "time", "sigma_log")], step["sh"]) + struct.pack("<I", 0)
+    return put_record("Quantization", content + (bytes([len(depths), *[depths[b] for b in sorted(depths)]]) if depths else b""))
+
+
+def header_record(profile: str, library: str, duration: float, count: int, cutoff: float, model: str, aabb: list[float], degree: int = 0, flags: int = 0) -> bytes:
+    return put_record("Header", put_string(profile) + put_string(library) + struct.pack("<dQd", duration, count, cutoff) + put_string(model) + struct.pack("<6dBB", *aabb, degree, flags) + struct.pack("<I", 0))
+
+
+class SceneFile:
+    """A file that is written front to back through the cluster's file system: places are known as records are put."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.out, self.at = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target), 0
+
+    def put(self, data: bytes) -> int:
+        self.out.write(bytearray(data))
+        self.at += len(data)
+        return self.at - len(data)
+
+    def close(self, index: list[bytes], statistics: bytes = b"") -> None:
+        """The summary, a footer with its checksum, and the closing magic."""
+        start, group = self.at, b"".join(index)
+        offsets = put_record("SummaryOffset", struct.pack("<BQQ", OPCODES["ChunkIndex"], start, len(group)))
+        data = group + statistics + offsets
+        self.put(data + put_record("Footer", struct.pack("<QQI", start, start + len(data) - len(offsets), zlib.crc32(data))) + MAGIC)
+        self.out.close()
+
+
+def write(g: DataFrame, path: str, duration: float, profile: str = "default", cutoff: float = temporal.CUTOFF, library: str = "driftfield", extra: bytes = b"", most_depth: int = 4, least: int = 1024, bits: dict[int, int] | None = None, flags: int = 0) -> None:
+    """Writes one scene: chunks by the interval tree, coded on the cluster, streamed to the file one chunk at a time.
+
+    ``g`` may have ``sh`` (codes of whole bands, 9, 24 or 45 of them), kept at so many ``bits`` by band, and ``source_index``.
+    ``extra`` are whole records that come before the chunks. Nodes with very many elements are cut into several chunks of
+    ``CHUNK_ROWS`` rows on average.
+    """
+    from driftfield.operators.planner import planned
+
+    spark = g.sparkSession
+    box = [f(f"p{x}").alias(f"{n}{x}") for n, f in (("lo", F.min), ("hi", F.max)) for x in "xyz"]
+    degree = F.max(F.size("sh")) if "sh" in g.columns else F.lit(0)
+    s = g.agg(F.count("*").alias("n"), *box, degree.alias("codes")).first()
+    scale = g.select(F.explode(F.array("sx", "sy", "sz")).alias("s")).agg(F.percentile_approx("s", 0.5)).first()[0]
+    bands = {9: [1], 24: [1, 2], 45: [1, 2, 3]}.get(s["codes"] or 0, [])
+    aabb = [float(s[f"{n}{x}"] or 0.0) for n in ("lo", "hi") for x in "xyz"]
+    step = D.steps(D.bounds(profile, float(scale or 1e-3)))
+    table = g.groupBy("win_lo", "win_hi").agg(F.count("*").alias("n")).orderBy("win_lo", "win_hi").collect()  # one row a window
+    tops = sorted({float(x) for r in table for x in (r["win_lo"], r["win_hi"])}) or [0.0, float(duration)]
+    lo, hi = temporal.support(*[F.col(c) for c in ("mu_t", "sigma_t", "win_lo", "win_hi")], cutoff)
+    g = planned(g, lo, hi, tops, most_depth, least)
+    if bands:
+        pitch = {b: D.sh_step((bits or {})[b]) if b in (bits or {}) else step["sh"] for b in bands}
+        places = F.array(*[F.lit(pitch[b]) for b in bands for _ in range(3 * (2 * b + 1))])
+        centred = lambda v, p: F.when(p <= 1, v).otherwise(F.least(F.greatest(F.floor(v / p).cast("long") * p + F.floor(p / 2).cast("long"), F.lit(0).cast("long")), F.lit(255).cast("long")))
+        g = g.withColumn("sh", F.zip_with(F.col("sh").cast("array<long>"), places.cast("array<long>"), centred))
+    windows = spark.createDataFrame([(float(r["win_lo"]), float(r["win_hi"]), i, max(1, r["n"] // CHUNK_ROWS)) for i, r in enumerate(table)] or [(0.0, 0.0, 0, 1)], "win_lo double, win_hi double, b_window_index long, parts long")
+    keep = ("t0", "t1", "level", *(("sh",) if bands else ()))
+    rows = binned(g, step, tuple(aabb[:3]), cutoff, keep).join(F.broadcast(windows) if len(table) <= 100_000 else windows, ["win_lo", "win_hi"]).withColumn("part", F.pmod(F.xxhash64("b_position_0", "b_position_1", "b_position_2", "b_mu_t"), F.col("parts")))
+    chunks = rows.groupBy("t0", "t1", "level", "part").applyInPandas(_chunk_coder([c for c in rows.columns if c.startswith("b_")], bands), "t0 double, t1 double, level long, part long, n long, content binary, bands array<binary>")
+    file, index = SceneFile(spark, path), []
+    file.put(MAGIC + header_record(profile, library, duration, s["n"], cutoff, "gaussian-birth", aabb, bands[-1] if bands else 0, flags) + grid_record(step, tuple(aabb[:3]), {b: bits[b] for b in bands} if bits else None))
+    file.put(put_record("WindowTable", struct.pack("<I", len(table)) + b"".join(struct.pack("<dd", r["win_lo"], r["win_hi"]) for r in table)) + extra)
+    for r in chunks.orderBy("level", "t0", "t1", "part").toLocalIterator():
+        block = put_record("Chunk", bytes(r["content"]))
+        at, placed = file.put(block), b""
+        for data in r["bands"]:
+            band = put_record("ShBandStream", bytes(data))
+            placed += struct.pack("<BQQ", data[0], file.put(band), len(band))
+        index.append(put_record("ChunkIndex", struct.pack("<ddQQII", r["t0"], r["t1"], at, len(block), r["n"], len(r["bands"])) + placed))
+    file.close(index, put_record("Statistics", struct.pack("<QId6d", s["n"], len(index), duration, *aabb)))
