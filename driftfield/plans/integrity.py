@@ -24,14 +24,6 @@ def J11_chains(spark, sf):
     return chains.walked(_chain(spark, sf), 8).select("offset", "keyframe", "depth")
 
 
-BAD_CHAIN = [(8, 0, 8, 0), (20, 1, 8, 1), (30, 1, 20, 5), (40, 1, 50, 1), (60, 1, 33, 1), (70, 1, 60, 2)]
-
-
-@query("SELECT * FROM (VALUES ('forward-reference', '40'), ('broken-reference', '40'), ('broken-reference', '60'), ('chain-without-keyframe', '60'), ('chain-without-keyframe', '70'), ('depth-mismatch', '30')) v(rule, item)", whole=True)
-def J11_chain_faults(spark, sf):
-    return chains.chain_faults(spark.createDataFrame(BAD_CHAIN, "offset long, kind int, reference long, declared_depth long")).select("rule", "item")
-
-
 @query("SELECT chunk_id, field FROM (SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, CASE WHEN a.chunk_id IS NULL OR b.chunk_id IS NULL THEN 'chunk_id' WHEN a.gaussian_count <> b.gaussian_count THEN 'gaussian_count' END AS field FROM ci a FULL JOIN (SELECT chunk_id, gaussian_count + CASE WHEN chunk_id = 2 THEN 1 ELSE 0 END AS gaussian_count FROM ci WHERE chunk_id <> 4) b ON a.chunk_id = b.chunk_id) WHERE field IS NOT NULL")
 def J10_index_matches(spark, sf):
     c = index.chunk_index(S.gaussians(spark, sf), S.DURATION)
@@ -39,14 +31,6 @@ def J10_index_matches(spark, sf):
     return chains.mismatched(c, other, "chunk_id", ["t0", "t1", "gaussian_count"])
 
 
-@query("SELECT t::BIGINT AS t, count(ci.chunk_id) AS chunks, coalesce(sum(chunk_length), 0)::BIGINT AS bytes FROM (SELECT unnest(range(0, 30, 3)) AS t) p LEFT JOIN ci ON t0 <= t AND t < t1 GROUP BY t")
-def K10_seek_costs(spark, sf):
-    c = index.chunk_index(S.gaussians(spark, sf), S.DURATION)  # a row for each window
-    probes = spark.range(0, 30, 3).select(F.col("id").alias("t"))
-    j = probes.join(F.broadcast(c), (F.col("t0") <= F.col("t")) & (F.col("t") < F.col("t1")), "left")
-    return j.groupBy("t").agg(F.count("chunk_id").alias("chunks"), F.coalesce(F.sum("chunk_length"), F.lit(0)).alias("bytes"))
-
-
 @query("SELECT count(*) FILTER (m >= 0.05e0) AS visible, (SELECT count(*) FROM g) AS total FROM lv")
 def K11_visible_of_total(spark, sf):
     g = state.weighted(S.gaussians(spark, sf), F.lit(13.5))
@@ -88,8 +72,3 @@ def J19_missing_ids(spark, sf):
     return S.gaussians(spark, sf).join(S.steps(spark, sf).select("gaussian_id"), "gaussian_id", "left_anti").select("gaussian_id")
 
 
-@query("SELECT step, max(step) OVER () = step AS last FROM (SELECT DISTINCT step FROM sc)")
-def K04_samples(spark, sf):
-    return _states(spark, sf).select("step").distinct().select("step", (F.col("step") == LAST).alias("last"))
-
-

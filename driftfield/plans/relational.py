@@ -141,14 +141,6 @@ def A11_bytes_for_chunk(spark, sf):
     return index.chunk_index(S.gaussians(spark, sf), S.DURATION).select("chunk_id", F.col("chunk_length").alias("bytes"))
 
 
-UNTILED = [(0.0, 3.0), (3.0, 7.0), (8.0, 12.0), (11.0, 20.0), (20.0, 29.0)]
-
-
-@query("SELECT t0::BIGINT AS t0, t1::BIGINT AS t1, fault FROM (SELECT t0, t1, CASE WHEN b IS NULL AND t0 <> 0 THEN 'starts-late' WHEN b < t0 THEN 'gap' WHEN b > t0 THEN 'overlap' WHEN n IS NULL AND t1 <> 30 THEN 'ends-off' END AS fault FROM (SELECT t0, t1, lag(t1) OVER (ORDER BY t0, t1) AS b, lead(t0) OVER (ORDER BY t0, t1) AS n FROM (VALUES (0, 3), (3, 7), (8, 12), (11, 20), (20, 29)) v(t0, t1))) WHERE fault IS NOT NULL", whole=True)
-def W05_check_tiling(spark, sf):
-    return index.untiled(spark.createDataFrame(UNTILED, "t0 double, t1 double"), S.DURATION).select(F.col("t0").cast("long").alias("t0"), F.col("t1").cast("long").alias("t1"), "fault")
-
-
 @query(", ".join(["SELECT count(*) AS n"] + [f"{f}(round_even({c} * 1e6, 0)::BIGINT) AS {f}_{c}" for c in ("px", "py", "pz") for f in ("min", "max")]) + " FROM g")
 def A01_aabb(spark, sf):
     return S.gaussians(spark, sf).agg(F.count("*").alias("n"), *[F.coalesce(f(micro(F.col(c))), F.lit(0)).alias(f"{n}_{c}") for c in ("px", "py", "pz") for n, f in (("min", F.min), ("max", F.max))])
@@ -332,11 +324,6 @@ def _states(spark, sf):
     return changes.filled(S.steps(spark, sf), LAST)
 
 
-@query("SELECT * FROM sc")
-def S22_filled_states(spark, sf):
-    return _states(spark, sf)
-
-
 DIFF_SQL = """, lg AS (SELECT *, lag(step) OVER o AS ps, lag(b_x) OVER o AS pb, lead(step) OVER o AS ns FROM sc WINDOW o AS (PARTITION BY gaussian_id ORDER BY step)),
 ch AS (SELECT step // 4 * 4 AS gop, step, gaussian_id, CASE WHEN step % 4 = 0 THEN 'k' WHEN ps IS NULL OR ps <> step - 1 THEN 'b' WHEN b_x <> pb THEN 'u' END AS op, CASE WHEN step % 4 <> 0 AND ps = step - 1 THEN b_x - pb ELSE b_x END AS b_x FROM lg),
 dd AS (SELECT * FROM ch WHERE op IS NOT NULL UNION ALL SELECT (step + 1) // 4 * 4, step + 1, gaussian_id, 'd', NULL FROM lg WHERE step < 24 AND (ns IS NULL OR ns <> step + 1) AND (step + 1) % 4 <> 0)
@@ -483,16 +470,3 @@ def V06_reused_ids(spark, sf):
     return rules.faults(changes.births(S.steps(spark, sf)), "gaussian-id-reused", "gaussian_id", "births > 1", F.concat(F.col("births").cast("string"), F.lit(" births")))
 
 
-BAD = [(1, 0.5, float("inf"), 3), (2, float("nan"), 1.0, 3), (3, 1.0, float("-inf"), 300), (4, float("inf"), 1.0, -1), (4, 1.0, 1.0, 9)]
-
-
-@query("SELECT * FROM (VALUES ('input-not-finite', 'error', '2', 'px is not finite'), ('input-not-finite', 'error', '3', 'sigma_t is not finite'), ('input-not-finite', 'error', '4', 'px is not finite'), ('sh-code-range', 'error', '3', '300'), ('sh-code-range', 'error', '4', '-1'), ('duplicate-id', 'error', '4', '2 rows'), ('window-index-range', 'error', '4', 'names 9'), ('window-index-range', 'error', '3', 'names 300'), ('window-index-range', 'error', '4', 'names -1')) v(rule, severity, item, message)", whole=True)
-def V12_V16_rule_report(spark, sf):
-    b = S.values(spark, BAD, "id long, px double, sigma_t double, code long")
-    known = S.values(spark, [(i,) for i in range(5)], "idx long")
-    return rules.report(
-        rules.not_finite(b, "id", ["px", "sigma_t"], "input-not-finite", ("sigma_t",)),
-        rules.faults(b, "sh-code-range", "id", "code NOT BETWEEN 0 AND 255", F.col("code").cast("string")),
-        rules.duplicates(b, "id", "duplicate-id"),
-        rules.dangling(b, "code", known, "idx", "window-index-range", "id"),
-    )

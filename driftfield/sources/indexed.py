@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftfield.sources.container import ATTRIBUTES, CHUNKS, COLUMNS, INDEX, MAGIC, OPCODES, RECORD, RECORDS, Fault, Reader, _index, attempted, chunk_bins, dequantized, stream
+from driftfield.sources.container import ATTRIBUTES, CHUNKS, INDEX, MAGIC, OPCODES, RECORD, RECORDS, Fault, Reader, _index, attempted, chunk_bins, dequantized, stream
 from driftfield.sources.storage import FileRanges
 
 HEAD = struct.calcsize(RECORD)
@@ -142,7 +142,7 @@ def payload_ranges(recs: DataFrame, first: int, length: int) -> DataFrame:
     return recs.where((F.col("opcode") == OPCODES["AudioData"]) & F.col("fault").isNull()).mapInArrow(run, "path string, source_id long, part binary")
 
 
-BINS = CHUNKS.replace(", fault string", ", sh array<array<long>>, fetched long, fault string")
+BINS = CHUNKS.replace(", fault string", ", codes array<array<long>>, fetched long, fault string")
 
 
 def read_chunk(ranges, offset: int, length: int, t0: float, t1: float, count: int, bands: list[dict], most_band: int) -> tuple[dict, list[list], int]:
@@ -203,7 +203,7 @@ def scene_at(spark: SparkSession, path: str, t: float | None = None, upto: float
     if t is not None:
         end = float(t if upto is None else upto)
         chosen = chosen.where((F.col("t0") <= float(t)) & (F.lit(float(t)) < F.col("t1"))) if upto is None else chosen.where((F.col("t0") < end) & (F.lit(float(t)) < F.col("t1")))
-    return dequantized(bins(chosen, most_band).where("fault IS NULL"), front(spark, path), ["chunk", "row", "level", "sh"])
+    return dequantized(bins(chosen, most_band).where("fault IS NULL"), front(spark, path), ["chunk", "row", "level", "codes"]).withColumnRenamed("codes", "sh")
 
 
 def temporal_model(spark: SparkSession, path: str) -> DataFrame:
@@ -211,7 +211,3 @@ def temporal_model(spark: SparkSession, path: str) -> DataFrame:
     from driftfield.sources.container import headers
 
     return headers(front(spark, path)).select("path", "temporal_model")
-
-
-#: Columns of ``bins`` that hold bins.
-BIN_COLUMNS = COLUMNS
