@@ -1,6 +1,6 @@
 import pytest
 
-from driftfield.plans import containers, integrity, relational, scenes  # noqa: F401  (the others register their queries with relational)
+from driftfield.plans import containers, imports, integrity, relational, scenes  # noqa: F401  (the others register their queries with relational)
 from tests.compare import assert_same
 
 
