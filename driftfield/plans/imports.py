@@ -16,7 +16,7 @@ from driftfield.functions import matrix as M
 from driftfield.functions.numeric import micro
 from driftfield.functions.quaternion import normalized
 from driftfield.plans.containers import folder, once
-from driftfield.plans.relational import VIEWS, query, sql_mu
+from driftfield.plans.relational import query, sql_mu
 from driftfield.plans.scenes import elements
 from driftfield.sources import derived as S
 from driftfield.sources import gltf as G
@@ -154,7 +154,7 @@ def snapshot(spark: SparkSession, sf: str) -> str:
 _F = lambda x: f"({x})::FLOAT::DOUBLE"
 
 
-@query(VIEWS + f"SELECT {sql_mu(_F('px + gaussian_id + vx * (13.5e0 - mu_t)'), 'px')}, {sql_mu(_F('a * m'), 'a')}, {sql_mu(_F('0.01e0 + (gaussian_id % 5) / 100e0'), 'sy')}, count(*) AS n FROM lv WHERE m >= 0.05e0 GROUP BY ALL")
+@query(f"SELECT {sql_mu(_F('px + gaussian_id + vx * (13.5e0 - mu_t)'), 'px')}, {sql_mu(_F('a * m'), 'a')}, {sql_mu(_F('0.01e0 + (gaussian_id % 5) / 100e0'), 'sy')}, count(*) AS n FROM lv WHERE m >= 0.05e0 GROUP BY ALL")
 def K05_S35_S36_snapshot(spark, sf):
     """What is visible at a time, written as an asset and imported again; numbers are those of 32 bits."""
     g = G.gaussians(spark, snapshot(spark, sf)).where("fault IS NULL")
