@@ -6,6 +6,9 @@ node pairs go down together, differing bits add up, and a pair is given up once
 partition are traversed level by level at once, as ranges of a sorted array. Tries that a large group of copies fills
 are cut into parts that are joined pairwise, so no task holds more than two parts. A task hands on a spanning forest
 of the links it finds, never all pairs; components then come from alternating star contractions on tables.
+
+Near copies by similarity take their first links from the same tries, each confirmed on the whole sets of shingles, and
+the rest, which fingerprints can't promise to bring near each other, from shared prefixes of the sets.
 """
 
 from __future__ import annotations
@@ -169,13 +172,17 @@ def trie_links(trie: np.ndarray, mark: np.ndarray, errors: int) -> Iterator[tupl
         work = (ahi - alo) * (bhi - blo)
         leaf = (work <= DIRECT) | (bit < 0)
         if leaf.any():
-            ids = np.flatnonzero(leaf)
-            upto = np.cumsum(work[ids])
+            # Equal marks can fill a leaf; its rows are taken a few at a time.
+            most = np.maximum(1, (1 << 20) // (bhi[leaf] - blo[leaf]))
+            nth, of = _ranges(np.zeros(most.size, dtype=np.int64), -((alo[leaf] - ahi[leaf]) // most))
+            clo = alo[leaf][of] + nth * most[of]
+            chi, dlo, dhi = np.minimum(clo + most[of], ahi[leaf][of]), blo[leaf][of], bhi[leaf][of]
+            upto = np.cumsum((chi - clo) * (dhi - dlo))
             cuts = np.searchsorted(upto, np.arange(1 << 20, int(upto[-1]) + (1 << 20), 1 << 20), side="right") + 1
-            for part in np.split(ids, np.unique(np.minimum(cuts, ids.size))):
+            for part in np.split(np.arange(of.size), np.unique(np.minimum(cuts, of.size))):
                 if part.size:
-                    left, which = _ranges(alo[part], ahi[part])
-                    right, again = _ranges(blo[part][which], bhi[part][which])
+                    left, which = _ranges(clo[part], chi[part])
+                    right, again = _ranges(dlo[part][which], dhi[part][which])
                     left = left[again]
                     ok = left < right
                     left, right = left[ok], right[ok]
@@ -347,25 +354,71 @@ def similar(sets: Sets, node: np.ndarray, size: np.ndarray, a: np.ndarray, b: np
     return same >= similarity * (sizes[x] + sizes[y] - same)
 
 
+class Compared:
+    """Pairs of nodes (positions) compared on their whole sets, unless links that were confirmed before connect them already."""
+
+    def __init__(self, sets: Sets, node: np.ndarray, size: np.ndarray, similarity: float):
+        self.sets, self.node, self.size, self.similarity = sets, node, size, similarity
+        self.forest, self.below = Forest(node.size), np.zeros(0, dtype=np.int64)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i in range(0, a.size, PAIRS):
+            x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+            apart = self.forest.root[x] != self.forest.root[y]
+            pairs = np.unique(np.minimum(x, y)[apart] * self.node.size + np.maximum(x, y)[apart])
+            pairs = pairs[~np.isin(pairs, self.below, assume_unique=True)]
+            if not pairs.size:
+                continue
+            x, y = pairs // self.node.size, pairs % self.node.size
+            near = similar(self.sets, self.node, self.size, x, y, self.similarity)
+            self.forest.join(x[near], y[near])
+            self.below = np.concatenate([self.below if self.below.size < BELOW else self.below[:0], pairs[~near]])
+
+
+def _confirmed_links(sets: Sets, similarity: float):
+    """Of the pairs whose fingerprints differ in few bits and whose sets are similar a spanning forest, between nodes."""
+
+    def within(errors: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if (got := _read(batches)) is None:
+                return
+            trie, mark, place, size = got
+            node, first, at = np.unique(place, return_index=True, return_inverse=True)
+            compared = Compared(sets, node, size[first], similarity)
+            for a, b in trie_links(trie, mark, errors):
+                compared.add(at[a], at[b])
+            root = compared.forest.root
+            tied = np.flatnonzero(root != np.arange(node.size))
+            yield _edges(node[tied], node[root[tied]])
+
+        return run
+
+    return within
+
+
 def _similar_links(sets: Sets, similarity: float):
     """Of the pairs that share a hash of their prefixes and are similar a spanning forest, between nodes.
 
     Every pair whose sizes and places of the hash allow the similarity is compared, unless links that were confirmed
-    before connect it already.
+    before connect it already: those of the task, and those of the fingerprints, which have given their nodes a group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (got := _read(batches)) is None:
             return
-        trie, mark, place = got
+        trie, mark, place, group = got
         more = trie[1:] == trie[:-1]
         shared = np.concatenate([more, [False]]) | np.concatenate([[False], more])
-        trie, mark, place = trie[shared], mark[shared].view(np.int64), place[shared]
+        trie, mark, place, group = trie[shared], mark[shared].view(np.int64), place[shared], group[shared]
         if not trie.size:
             return
         n, rest = mark >> 24, (mark >> 24) - (mark & 0xFFFFFF)
         node, first, at = np.unique(place, return_index=True, return_inverse=True)
-        size, forest = n[first], Forest(node.size)
+        compared = Compared(sets, node, n[first], similarity)
+        tied = np.flatnonzero(group[first] >= 0)
+        _, least, of = np.unique(group[first][tied], return_index=True, return_inverse=True)
+        compared.forest.join(tied, tied[least][of])
+        given = compared.forest.root.copy()
         begins = np.flatnonzero(np.concatenate([[True], trie[1:] != trie[:-1]]))
         ends = np.concatenate([begins[1:], [trie.size]])
         list_of = np.repeat(np.arange(begins.size), ends - begins)
@@ -373,7 +426,7 @@ def _similar_links(sets: Sets, similarity: float):
         key = list_of.astype(np.float64) * (step := float(n.max() + 2)) + n
         upto = np.searchsorted(key, list_of * step + np.minimum(n / similarity + 1e-6, step - 1), side="right")
         partners = np.maximum(upto - np.arange(trie.size) - 1, 0)
-        total, below, row = np.cumsum(partners), np.zeros(0, dtype=np.int64), 0
+        total, row = np.cumsum(partners), 0
         while row < trie.size:
             until = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + PAIRS, side="right")))
             left = np.arange(row, until)
@@ -382,18 +435,10 @@ def _similar_links(sets: Sets, similarity: float):
             left = left[which]
             # A similar pair is found at the first hash that both have, after which enough must be left.
             ok = np.minimum(rest[left], rest[right]) >= similarity / (1 + similarity) * (n[left] + n[right]) - 1e-6
-            a, b = at[left[ok]], at[right[ok]]
-            apart = forest.root[a] != forest.root[b]
-            pairs = np.unique(np.minimum(a, b)[apart] * node.size + np.maximum(a, b)[apart])
-            pairs = pairs[~np.isin(pairs, below, assume_unique=True)]
-            if not pairs.size:
-                continue
-            a, b = pairs // node.size, pairs % node.size
-            near = similar(sets, node, size, a, b, similarity)
-            forest.join(a[near], b[near])
-            below = np.concatenate([below if below.size < BELOW else below[:0], pairs[~near]])
-        tied = np.flatnonzero(forest.root != np.arange(node.size))
-        yield _edges(node[tied], node[forest.root[tied]])
+            compared.add(at[left[ok]], at[right[ok]])
+        root = compared.forest.root
+        tied = np.flatnonzero((given == np.arange(node.size)) & (root != given))
+        yield _edges(node[tied], node[root[tied]])
 
     return run
 
@@ -498,45 +543,51 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(cut(classes(marked, errors=errors)), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, errors: int = 4) -> DataFrame:
     """The documents that stay when one of each group of near copies does: ``docs`` with its columns as they are.
 
     Texts are near copies if the sets of their word shingles have a Jaccard similarity of ``similarity`` or more; texts of
-    the same words are copies (those without words, too). Candidates are found by prefix filtering: in an order of all
-    shingles, similar sets share one of their first few, so no pair is missed. Each candidate is compared exactly, unless
-    confirmed links connect it already; groups are what confirmed links connect, and the first document of a group
-    stays. Null texts count as empty; an empty table gives an empty result.
+    the same words are copies (those without words, too). Fingerprints within ``errors`` bits, found by the self-join of
+    tries, are the first candidates. What fingerprints miss comes by prefix filtering: in an order of all shingles, similar
+    sets share one of their first few, so no pair is lost. Each candidate is compared exactly, unless confirmed links
+    connect it already; groups are what confirmed links connect, and the first document of a group stays. Null texts count
+    as empty; an empty table gives an empty result.
     """
     columns, sets = docs.columns, Sets(docs.sparkSession)
-    made = [T.StructField("__words", T.StringType()), T.StructField("__node", T.LongType()), T.StructField("__size", T.LongType())]
+    made = [T.StructField("__words", T.StringType()), T.StructField("__node", T.LongType()), T.StructField("__size", T.LongType()), T.StructField("__mark", T.LongType())]
     batches = iter(range(1 << 62))
 
     def make(batch: list[pa.Array]) -> Iterator[tuple[int, int, list[pa.Array]]]:
         partition = TaskContext.get().partitionId()
         for a, b in slices(byte_sizes(batch[0]), 4 << 20):
             texts = [x or b"" for x in batch[0].slice(a, b - a).to_pylist()]
-            each = [np.unique(shingle_hashes(x, shingle)) for x in texts]
+            hashes = [shingle_hashes(x, shingle) for x in texts]
+            marks = np.array([signature(x)[0] for x in hashes], dtype=np.uint64)
+            each = [np.unique(x) for x in hashes]
             words = [xxhash.xxh3_128_hexdigest(b" ".join(x.lower().split())) for x in texts]
-            yield a, b, [pa.array(words, pa.string()), pa.array(sets.write(partition, next(batches), each)), pa.array([x.size for x in each], pa.int64())]
+            yield a, b, [pa.array(words, pa.string()), pa.array(sets.write(partition, next(batches), each)), pa.array([x.size for x in each], pa.int64()), pa.array(marks.view(np.int64))]
 
     rest = [c for c in columns if c != text]
     source = docs.select(F.struct(*[docs[f"`{c}`"] for c in rest], F.lit(0).alias("__none")).alias("__rest"), F.col(f"`{text}`").cast("string").alias("__text"))
     kept = written(arrow_mapped(source, ["__text"], made, make), "sets")
-    nodes = cut(kept.groupBy("__words").agg(F.min(F.struct("__node", "__size")).alias("m")).select(F.col("m.__node").alias("node"), F.col("m.__size").alias("size")))
+    nodes = cut(kept.groupBy("__words").agg(F.min(F.struct("__node", "__size", "__mark")).alias("m")).select(F.col("m.__node").alias("node"), F.col("m.__size").alias("size"), F.col("m.__mark").alias("mark")))
     n, hashes = nodes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    marks = nodes.where("size > 0").select("mark", F.lit(0).alias("sketch"), "node", "size")
+    linked = cut(components(_dealt(marks, choices(errors, n), errors, _confirmed_links(sets, similarity), ["mark", "node", "size"], n, PART)).select(F.col("node").alias("a"), F.col("root").alias("b")))
     common = docs.sparkSession.sparkContext.broadcast(common_hashes(sets, nodes, n))
 
     def dealt(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            place, size = (c.to_numpy() for c in batch.columns)
+            place, size, group = (c.to_numpy() for c in batch.columns)
             for a, b in slices(8 * size, 8 * HASHES):
                 firsts = [prefix(sets.read(p, k), similarity, *common.value) for p, k in zip(place[a:b].tolist(), size[a:b].tolist())]
                 lens = np.array([x.size for x in firsts], dtype=np.int64)
                 at, which = _ranges(np.zeros(lens.size, dtype=np.int64), lens)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((size[a:b][which] << 24) + at, place[a:b][which], np.concatenate(firsts).view(np.int64))], names=["mark", "node", "trie"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((size[a:b][which] << 24) + at, place[a:b][which], group[a:b][which], np.concatenate(firsts).view(np.int64))], names=["mark", "node", "group", "trie"])
 
-    each = nodes.where("size > 0").mapInArrow(dealt, "mark long, node long, trie long")
-    near = _joined(each, _similar_links(sets, similarity), ["mark", "node"], n + round((1 - similarity) * int(hashes)), WHOLE)
-    gone = components(near).where("node <> root").select(F.col("node").alias("__gone"))
+    grouped = nodes.where("size > 0").join(linked, F.col("node") == F.col("a"), "left").select("node", "size", F.coalesce("b", F.lit(-1)).alias("group"))
+    each = grouped.mapInArrow(dealt, "mark long, node long, group long, trie long")
+    near = _joined(each, _similar_links(sets, similarity), ["mark", "node", "group"], n + round((1 - similarity) * int(hashes)), WHOLE)
+    gone = components(near.union(linked)).where("node <> root").select(F.col("node").alias("__gone"))
     stay = nodes.join(gone, nodes["node"] == gone["__gone"], "left_anti").select("node")
     return kept.join(stay, kept["__node"] == stay["node"], "left_semi").select(*[F.col("__text" if c == text else f"__rest.`{c}`").alias(c) for c in columns])

@@ -183,3 +183,48 @@ def test_every_pair_at_the_threshold_is_found(spark, n, k):
     a, b = shingles(texts[0]), shingles(texts[1])
     assert 0.8 <= len(a & b) / len(a | b) < 0.87
     assert stayed(spark, texts) == set(range(0, 300, 2))
+
+
+def without_links(*_):
+    def run(batches):
+        for _ in batches:
+            pass
+        return iter(())
+
+    return run
+
+
+def close_and_far(rng):
+    """Pairs with one changed word in 304, and pairs at the threshold."""
+    texts = []
+    for k in [1] * 60 + [6] * 60:
+        base = [f"w{rng.getrandbits(40)}" for _ in range(304)]
+        texts += [" ".join(base), " ".join(changed(base, spaced(304, k, rng), rng))]
+    return texts
+
+
+def test_fingerprints_link_near_copies_and_prefixes_the_rest(spark, monkeypatch):
+    texts = close_and_far(random.Random(12))
+    marks = [plain_fingerprint(t, 5) for t in texts]
+    near = {i for i in range(0, len(texts), 2) if (marks[i] ^ marks[i + 1]).bit_count() <= 4}
+    assert 40 < len(near) < 90
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "_similar_links", without_links)
+        assert stayed(spark, texts) == set(range(len(texts))) - {i + 1 for i in near}
+    assert stayed(spark, texts) == set(range(0, len(texts), 2))
+
+
+def test_equal_fingerprints_are_confirmed_on_whole_sets(spark, monkeypatch):
+    """A trie of one fingerprint alone: half of its texts are copies, the others only look like it."""
+    rng = random.Random(13)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(104)]
+    texts = [" ".join(changed(base, spaced(104, 1, rng), rng)) for _ in range(20)] + [" ".join(f"w{rng.getrandbits(40)}" for _ in range(30)) for _ in range(20)]
+    monkeypatch.setattr(simhash, "signature", lambda hashes, k=1: np.zeros(k, dtype=np.uint64))
+    monkeypatch.setattr(simhash, "_similar_links", without_links)
+    assert stayed(spark, texts) == least_of_groups(texts) == {0, *range(20, 40)}
+
+
+def test_a_leaf_of_many_equal_marks():
+    n = 4000
+    got = [x.size for x, _ in simhash.trie_links(np.zeros(n, dtype=np.int64), np.full(n, 7, dtype=np.uint64), 4)]
+    assert sum(got) == n * (n - 1) // 2 and max(got) <= 2 << 20
