@@ -11,3 +11,8 @@ def test_matches_sql(spark, name):
 
 def test_all_have_sql():
     assert set(relational.QUERIES) == set(relational.SQL)
+
+
+def test_tracks_of_objects_with_several_are_not_lost(spark):
+    """Only larger tables have objects with several tracks in a file."""
+    assert_same(spark, relational.QUERIES["R21_object_tracks"], relational.SQL["R21_object_tracks"], "/root/testdata/sf0.01")
