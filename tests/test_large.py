@@ -23,3 +23,8 @@ def streamed(df):
 
 def test_elements_read_by_ranges_are_not_broadcast(spark):
     assert streamed(X.scene_at(spark, scenes.scene(spark, SF), most_band=2).where("px > 0"))
+
+
+def test_lists_of_bands_are_those_of_each_row():
+    a, b = np.arange(12).reshape(4, 3), np.arange(20).reshape(4, 5)
+    assert X.lists_of([a, b]).to_pylist() == [[x.tolist(), y.tolist()] for x, y in zip(a, b)]
