@@ -28,3 +28,10 @@ def test_elements_read_by_ranges_are_not_broadcast(spark):
 def test_lists_of_bands_are_those_of_each_row():
     a, b = np.arange(12).reshape(4, 3), np.arange(20).reshape(4, 5)
     assert X.lists_of([a, b]).to_pylist() == [[x.tolist(), y.tolist()] for x, y in zip(a, b)]
+
+
+def test_supports_are_computed_once(spark):
+    """Conditions on nodes were pushed below the supports, which were then computed for each comparison."""
+    g = C.decoded_support(scenes.elements(spark, SF), D.steps(D.bounds("default", 0.03)), 0.05)
+    p = planned(g, F.col("__lo"), F.col("__hi"), [3.0 * i for i in range(11)], 2, 24)
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("EXP(") < 6
