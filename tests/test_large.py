@@ -35,3 +35,16 @@ def test_supports_are_computed_once(spark):
     g = C.decoded_support(scenes.elements(spark, SF), D.steps(D.bounds("default", 0.03)), 0.05)
     p = planned(g, F.col("__lo"), F.col("__hi"), [3.0 * i for i in range(11)], 2, 24)
     assert p._jdf.queryExecution().optimizedPlan().toString().count("EXP(") < 6
+
+
+#: A node is one chunk, in however many pieces it was coded.
+IN_PIECES = [
+    "S07_K12_inspected",
+]
+
+
+@pytest.mark.parametrize("name", IN_PIECES)
+def test_nodes_of_many_pieces_are_one_chunk(spark, monkeypatch, name):
+    monkeypatch.setattr(containers, "_MADE", {})
+    monkeypatch.setattr(P, "PIECE", 16)
+    assert_same(spark, relational.QUERIES[name], relational.SQL[name], SF)
