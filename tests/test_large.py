@@ -40,6 +40,7 @@ def test_supports_are_computed_once(spark):
 #: A node is one chunk, in however many pieces it was coded.
 IN_PIECES = [
     "S07_K12_inspected",
+    "K10_seek_costs",
 ]
 
 
