@@ -41,6 +41,7 @@ def test_supports_are_computed_once(spark):
 IN_PIECES = [
     "S07_K12_inspected",
     "K10_seek_costs",
+    "R02_R15_summary_offsets",
 ]
 
 
