@@ -42,6 +42,7 @@ IN_PIECES = [
     "S07_K12_inspected",
     "K10_seek_costs",
     "R02_R15_summary_offsets",
+    "R07_S09_C10_index_entries",
 ]
 
 
