@@ -43,6 +43,7 @@ IN_PIECES = [
     "K10_seek_costs",
     "R02_R15_summary_offsets",
     "R07_S09_C10_index_entries",
+    "J18_index_bands",
 ]
 
 
