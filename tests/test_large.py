@@ -52,3 +52,8 @@ def test_nodes_of_many_pieces_are_one_chunk(spark, monkeypatch, name):
     monkeypatch.setattr(containers, "_MADE", {})
     monkeypatch.setattr(P, "PIECE", 16)
     assert_same(spark, relational.QUERIES[name], relational.SQL[name], SF)
+
+
+def test_decoded_elements_are_not_broadcast(spark):
+    recs = scenes.framed(spark, SF)
+    assert streamed(C.gaussians(recs)) and C.bins(recs).rdd.getNumPartitions() > 1
