@@ -57,3 +57,8 @@ def test_nodes_of_many_pieces_are_one_chunk(spark, monkeypatch, name):
 def test_decoded_elements_are_not_broadcast(spark):
     recs = scenes.framed(spark, SF)
     assert streamed(C.gaussians(recs)) and C.bins(recs).rdd.getNumPartitions() > 1
+
+
+def test_elements_meet_those_given_without_a_broadcast(spark):
+    plan = relational.QUERIES["A06_worst_by_attribute"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BuildLeft" not in plan
