@@ -62,3 +62,16 @@ def test_decoded_elements_are_not_broadcast(spark):
 def test_elements_meet_those_given_without_a_broadcast(spark):
     plan = relational.QUERIES["A06_worst_by_attribute"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BuildLeft" not in plan
+
+
+#: Populations told in pieces are those of one piece.
+TOLD_IN_PIECES = [
+    "V10_U04_U05_J19_change_rules",
+]
+
+
+@pytest.mark.parametrize("name", TOLD_IN_PIECES)
+def test_steps_of_many_pieces_are_one_chunk(spark, monkeypatch, name):
+    monkeypatch.setattr(containers, "_MADE", {})
+    monkeypatch.setattr(P, "PIECE", 16)
+    assert_same(spark, relational.QUERIES[name], relational.SQL[name], SF)
