@@ -69,6 +69,7 @@ TOLD_IN_PIECES = [
     "V10_U04_U05_J19_change_rules",
     "A12_A13_A14_A21_identities",
     "E07_past_the_end",
+    "K04_R23_R26_groups",
 ]
 
 
