@@ -70,6 +70,7 @@ TOLD_IN_PIECES = [
     "A12_A13_A14_A21_identities",
     "E07_past_the_end",
     "K04_R23_R26_groups",
+    "K09_A09_F28_probes",
 ]
 
 
