@@ -71,6 +71,7 @@ TOLD_IN_PIECES = [
     "E07_past_the_end",
     "K04_R23_R26_groups",
     "K09_A09_F28_probes",
+    "S22_S24_S26_populations",
 ]
 
 
