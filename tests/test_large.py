@@ -72,6 +72,7 @@ TOLD_IN_PIECES = [
     "K04_R23_R26_groups",
     "K09_A09_F28_probes",
     "S22_S24_S26_populations",
+    "S27_keyed_populations",
 ]
 
 
