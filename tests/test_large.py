@@ -73,6 +73,7 @@ TOLD_IN_PIECES = [
     "K09_A09_F28_probes",
     "S22_S24_S26_populations",
     "S27_keyed_populations",
+    "W05_V06_timeline",
 ]
 
 
