@@ -74,6 +74,7 @@ TOLD_IN_PIECES = [
     "S22_S24_S26_populations",
     "S27_keyed_populations",
     "W05_V06_timeline",
+    "V11_keyframe_birth_times",
 ]
 
 
