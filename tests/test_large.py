@@ -75,6 +75,7 @@ TOLD_IN_PIECES = [
     "S27_keyed_populations",
     "W05_V06_timeline",
     "V11_keyframe_birth_times",
+    "J11_chain_faults",
 ]
 
 
