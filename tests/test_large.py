@@ -44,6 +44,7 @@ IN_PIECES = [
     "R02_R15_summary_offsets",
     "R07_S09_C10_index_entries",
     "J18_index_bands",
+    "E09_indexed_range",
 ]
 
 
