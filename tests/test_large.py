@@ -45,6 +45,7 @@ IN_PIECES = [
     "R07_S09_C10_index_entries",
     "J18_index_bands",
     "E09_indexed_range",
+    "S03_S09_S10_E08_indexed_at",
 ]
 
 
