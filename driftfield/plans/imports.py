@@ -21,7 +21,8 @@ from driftfield.plans.scenes import elements
 from driftfield.sources import derived as S
 from driftfield.sources import gltf as G
 from driftfield.sources import ply as P
-from driftfield.sources.storage import put_files
+from driftfield.sources.pieces import PIECE
+from driftfield.sources.storage import put_files, put_one, put_parts, scratch
 
 FPS = 4.0
 
@@ -77,20 +78,33 @@ def packed(spark: SparkSession, sf: str) -> str:
 
     def make() -> str:
         e = S.read(spark, sf, "events").select("event_id", (F.col("event_id") % 2).alias("half"))
-        held = e.groupBy("half").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+        counts = {r["half"]: r["count"] for r in e.groupBy("half").count().collect()}
+        where = folder(spark, "packed")
+        root = scratch(spark, f"{where}/seg")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
             for batch in batches:
-                for half, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids, chunks = np.array(ids, dtype=np.uint64), -(-len(ids) // 256)
-                    words = np.stack([(ids * np.uint64(m)) % np.uint64(1 << 32) for m in (2654435761, 40503, 2246822519, 3266489917, 668265263, 374761393)], axis=1).astype("<u4")
-                    bounds = np.array([[c * 1.0] * 3 + [c + 8.0] * 3 + [-4.0] * 3 + [0.0] * 3 + [0.0] * 3 + [1.0] * 3 + [-1.0] * 3 + [1.0] * 3 + [-3.0, 0.0, 0.0, 4.0] for c in range(chunks)], dtype="<f4")
-                    sh = ((ids[:, None] + np.arange(9, dtype=np.uint64)) % np.uint64(256)).astype(np.uint8)
-                    head = f"ply\nformat binary_little_endian 1.0\nelement chunk {chunks}\n" + "".join(f"property float c{k}\n" for k in range(28)) + f"element vertex {len(ids)}\nproperty uint packed_position\n" + "".join(f"property uint w{k}\n" for k in range(5)) + f"element sh {len(ids)}\n" + "".join(f"property uchar f_rest_{k}\n" for k in range(9)) + "end_header\n"
-                    data = head.encode() + bounds.tobytes() + words.tobytes() + sh.tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([f"seg{10 + half}.ply"]), pa.array([data], pa.binary())], names=["name", "content"])
-
-        return put_files(held.select("half", "ids").mapInArrow(run, "name string, content binary"), folder(spark, "packed"))
+                ids, half = (c.to_numpy() for c in batch.columns)
+                for h in np.unique(half):
+                    held.setdefault(int(h), []).append(ids[half == h])
+            for half, parts in held.items():
+                ids = np.sort(np.concatenate(parts)).astype(np.uint64)
+                words = np.stack([(ids * np.uint64(m)) % np.uint64(1 << 32) for m in (2654435761, 40503, 2246822519, 3266489917, 668265263, 374761393)], axis=1).astype("<u4")
+                sh = ((ids[:, None] + np.arange(9, dtype=np.uint64)) % np.uint64(256)).astype(np.uint8)
+                row = {"half": half, "first": int(ids[0]), "n": len(ids), "uri": put_one(root, words.tobytes() + sh.tobytes())}
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row.values()], names=list(row))
+
+        # Ranges of ids, so that pieces follow each other.
+        dealt_out = e.repartitionByRange(max(1, sum(counts.values()) // PIECE), "half", "event_id")
+        pieces = dealt_out.select("event_id", "half").mapInArrow(run, "half long, first long, n long, uri string").collect()  # a row a piece
+        for half, n in counts.items():
+            chunks, mine = -(-n // 256), sorted((r["first"], r["n"], r["uri"]) for r in pieces if r["half"] == half)
+            c = np.arange(chunks, dtype="<f4")[:, None]
+            bounds = np.concatenate([c + np.float32(x) if moves else np.full((chunks, 1), x, "<f4") for x, moves in [(0, True)] * 3 + [(8, True)] * 3 + [(x, False) for x in [-4.0] * 3 + [0.0] * 6 + [1.0] * 3 + [-1.0] * 3 + [1.0] * 3 + [-3.0, 0.0, 0.0, 4.0]]], axis=1).astype("<f4")
+            head = f"ply\nformat binary_little_endian 1.0\nelement chunk {chunks}\n" + "".join(f"property float c{k}\n" for k in range(28)) + f"element vertex {n}\nproperty uint packed_position\n" + "".join(f"property uint w{k}\n" for k in range(5)) + f"element sh {n}\n" + "".join(f"property uchar f_rest_{k}\n" for k in range(9)) + "end_header\n"
+            put_parts(spark, f"{where}/seg{10 + half}.ply", [head.encode() + bounds.tobytes(), *[(uri, 0, 24 * m) for _, m, uri in mine], *[(uri, 24 * m, 9 * m) for _, m, uri in mine]])
+        return where
 
     return once(spark, sf, "packed", make)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from driftfield.functions import quantization as D
 from driftfield.functions import temporal
 from driftfield.sources.container import Fault
+from driftfield.sources.storage import FileRanges, dealt
 
 #: Fixed values of the format: the types of properties.
 TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
@@ -161,8 +162,12 @@ def frames(spark: SparkSession, path: str, fps: float = 30.0) -> DataFrame:
     return a.withColumns(made).drop("low", "high", *[f"before_{x}" for x in "xyz"])
 
 
-def _packed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """(floats by chunk, words by vertex, coefficients by vertex)."""
+def _packed(ranges) -> tuple:
+    """(vertices, floats of a chunk, words and codes of a vertex, where bounds, words and codes begin), from the header alone."""
+    size, data = 1 << 16, ranges.read(0, min(1 << 16, ranges.size))
+    while data.startswith(b"ply") and b"\n" not in data[max(data.find(b"end_header"), 0) :].partition(b"end_header")[2] and size < ranges.size:
+        size *= 4
+        data = ranges.read(0, min(size, ranges.size))
     _, elements, at = header(data)
     (chunks, bounds), (n, words), (_, sh) = elements.get("chunk", (0, [])), elements.get("vertex", (0, [])), elements.get("sh", (0, []))
     if not n:
@@ -173,43 +178,65 @@ def _packed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         raise Fault("unexpected-vertex-stride")
     if chunks != -(-n // CHUNK):
         raise Fault("chunk-count-mismatch")
-    if at + 4 * (chunks * len(bounds) + n * len(words)) + n * len(sh) > len(data):
+    first = at + 4 * chunks * len(bounds)
+    last = first + 4 * n * len(words)
+    if last + n * len(sh) > ranges.size:
         raise Fault("truncated")
-    floats = np.frombuffer(data, "<f4", chunks * len(bounds), at).reshape(chunks, -1)
-    at += floats.nbytes
-    packed = np.frombuffer(data, "<u4", n * len(words), at).reshape(n, -1)
-    at += packed.nbytes
-    return floats, packed, np.frombuffer(data, np.uint8, n * len(sh), at).reshape(n, -1) if len(sh) in DEGREES else None
+    return n, len(bounds), len(words), len(sh) if len(sh) in DEGREES else 0, at, first, last
+
+
+#: Vertices that a task reads at once, whole chunks of them; what is known of such a stretch.
+STRETCH = 1024 * CHUNK
+STRETCHES = "path string, first long, rows long, vertices long, floats int, width int, codes int, floats_at long, words_at long, codes_at long, fault string"
+
+
+def _lists(table: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Rows of a table as lists."""
+    n, width = table.shape
+    return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * width).astype(np.int32)), pa.array(table.ravel(), kind))
 
 
 def packed_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Packed vertices, and the bounds that each 256 of them share; a file that can't be read is a vertex row with its fault."""
+    """Packed vertices, and the bounds that each 256 of them share; a file that can't be read is a vertex row with its fault.
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [w.split()[0] for w in PACKED.split(", ")]
+    Headers tell where vertices lie; stretches of them are read by ranges, by as many tasks as there are.
+    """
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [w.split()[0] for w in STRETCHES.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for file in batch.column(0).to_pylist():
                 try:
-                    (floats, w, sh), fault = _packed(data), None
+                    n, *told = _packed(FileRanges(file))
+                    rows = [(file, a, min(STRETCH, n - a), n, *told, None) for a in range(0, n, STRETCH)]
                 except Fault as e:
-                    floats, w, sh, fault = np.zeros((0, 0)), np.zeros((1, 0), dtype=np.uint32), None, str(e)
-                for a in range(0, len(w), BATCH):
-                    part = w[a : a + BATCH]
-                    m = len(part)
-                    codes = pa.array(sh[a : a + m].tolist(), pa.list_(pa.int64())) if sh is not None else pa.nulls(m, pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * m), pa.array(range(a, a + m), pa.int64()), pa.array([len(w)] * m, pa.int64()), pa.array([w.shape[1] == 6 and floats.shape[1] == 28] * m), pa.array(part.astype(np.int64).tolist(), pa.list_(pa.int64())), codes, pa.array([fault] * m, pa.string())], names=names)
+                    rows = [(file, 0, 1, 1, 0, 0, 0, 0, 0, 0, str(e))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [w.split()[0] for w in PACKED.split(", ")]
+        for batch in batches:
+            for file, first, rows, n, floats, width, codes, _, words_at, codes_at, fault in zip(*[c.to_pylist() for c in batch.columns]):
+                ranges = FileRanges(file)
+                for a in range(first, first + rows, BATCH):
+                    m = min(BATCH, first + rows - a)
+                    same = lambda x, kind, m=m: pa.repeat(pa.scalar(x, kind), m)
+                    w = np.frombuffer(ranges.read(words_at + 4 * width * a, 4 * width * m), "<u4").astype(np.int64).reshape(m, width)
+                    sh = _lists(np.frombuffer(ranges.read(codes_at + codes * a, codes * m), np.uint8).astype(np.int64).reshape(m, codes), pa.int64()) if codes else pa.nulls(m, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([same(file, pa.string()), pa.array(np.arange(a, a + m, dtype=np.int64)), same(n, pa.int64()), same(width == 6 and floats == 28, pa.bool_()), _lists(w, pa.int64()), sh, same(fault, pa.string())], names=names)
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    floats = _packed(data)[0]
-                except Fault:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(floats)), pa.array(range(len(floats)), pa.int64()), pa.array(floats.astype(np.float64).tolist(), pa.list_(pa.float64()))], names=["path", "chunk", "floats"])
+            for file, first, rows, _, width, _, _, at, _, _, fault in zip(*[c.to_pylist() for c in batch.columns]):
+                if fault is None:
+                    low, n = first // CHUNK, -(-rows // CHUNK)
+                    floats = np.frombuffer(FileRanges(file).read(at + 4 * width * low, 4 * width * n), "<f4").astype(np.float64).reshape(n, width)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file), n), pa.array(np.arange(low, low + n, dtype=np.int64)), _lists(floats, pa.float64())], names=["path", "chunk", "floats"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(words, PACKED), files.mapInArrow(bounds, BOUNDS)
+    found = spark.read.format("binaryFile").load(path).select("path").mapInArrow(stretches, STRETCHES)
+    told = dealt(found, "path", "first")
+    return told.mapInArrow(words, PACKED), told.mapInArrow(bounds, BOUNDS)
 
 
 def packed_rotation(word: Column, wxyz: Column) -> tuple[Column, Column, Column, Column]:
@@ -235,7 +262,8 @@ def packed_coefficient(code: Column) -> Column:
 def unpacked(spark: SparkSession, path: str) -> DataFrame:
     """Packed vertices in scene units, on the clock that their file carries: a join of vertices with their chunk's bounds."""
     v, bounds = packed_tables(spark, path)
-    j = v.where("fault IS NULL").withColumn("chunk", F.floor(F.col("row") / CHUNK)).join(bounds, ["path", "chunk"])
+    # Vertices look few to the planner; a hint keeps it from broadcasting them.
+    j = v.where("fault IS NULL").withColumn("chunk", F.floor(F.col("row") / CHUNK)).hint("merge").join(bounds, ["path", "chunk"])
     word, low = (lambda k: F.get("words", F.lit(k))), (lambda k: F.get("floats", F.lit(k)))
     lerp = lambda u, a, b: low(a) + u * (low(b) - low(a))
     fields = lambda w: [D.unorm(w, 21, 11), D.unorm(w, 11, 10), D.unorm(w, 0, 11)]

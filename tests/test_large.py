@@ -1,15 +1,19 @@
 """What only shows on large tables, made to show on small ones."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftfield.functions import quantization as D
 from driftfield.operators.planner import planned
-from driftfield.plans import containers, relational, scenes
+from driftfield.plans import containers, imports, relational, scenes
 from driftfield.sources import container as C
 from driftfield.sources import indexed as X
 from driftfield.sources import pieces as P
+from driftfield.sources import ply
+from driftfield.sources.scene_records import object_table
 from tests.compare import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +90,20 @@ def test_steps_of_many_pieces_are_one_chunk(spark, monkeypatch, name):
     monkeypatch.setattr(containers, "_MADE", {})
     monkeypatch.setattr(P, "PIECE", 16)
     assert_same(spark, relational.QUERIES[name], relational.SQL[name], SF)
+
+
+@pytest.mark.parametrize("name", ["S32_J14_F26_compressed_ply", "S33_O06_segments"])
+def test_packed_vertices_are_read_in_stretches(spark, monkeypatch, name):
+    monkeypatch.setattr(containers, "_MADE", {})
+    monkeypatch.setattr(ply, "STRETCH", 256)
+    monkeypatch.setattr(imports, "PIECE", 100)
+    assert_same(spark, relational.QUERIES[name], relational.SQL[name], SF)
+
+
+def test_packed_files_that_cannot_be_read_are_named(spark, tmp_path):
+    head = b"ply\nformat binary_little_endian 1.0\nelement chunk 1\n" + b"property float c\n" * 12 + b"element vertex 3\n" + b"property uint w\n" * 4
+    (tmp_path / "a.ply").write_bytes(head + b"end_header\n" + bytes(48 + 47))
+    (tmp_path / "b.ply").write_bytes(b"ply\ncomment " + b"x" * 200_000 + head[3:] + b"end_header\n" + bytes(48 + 48))
+    (tmp_path / "c.ply").write_bytes(b"no point cloud")
+    v = ply.packed_tables(spark, str(tmp_path))[0]
+    assert sorted((r["path"][-5:], r["row"], r["fault"]) for r in v.collect()) == [("a.ply", 0, "truncated"), ("b.ply", 0, None), ("b.ply", 1, None), ("b.ply", 2, None), ("c.ply", 0, "not-a-ply")]
