@@ -107,3 +107,24 @@ def test_packed_files_that_cannot_be_read_are_named(spark, tmp_path):
     (tmp_path / "c.ply").write_bytes(b"no point cloud")
     v = ply.packed_tables(spark, str(tmp_path))[0]
     assert sorted((r["path"][-5:], r["row"], r["fault"]) for r in v.collect()) == [("a.ply", 0, "truncated"), ("b.ply", 0, None), ("b.ply", 1, None), ("b.ply", 2, None), ("c.ply", 0, "not-a-ply")]
+
+
+def test_object_tables_are_joined_once():
+    """Forty thousand objects in a record; appending to bytes copied all that was there for each of them."""
+    entries = [(i, "label", [0.0] * 3, None, [0.5] * 64) for i in range(40_000)]
+    began = time.process_time()
+    assert len(object_table(entries, 64)) == 9 + 6 + 40_000 * (4 + 4 + 5 + 12 + 1 + 1 + 256) and time.process_time() - began < 5
+
+
+#: Queries over descriptive records.
+DESCRIBED = [
+    "R11_S11_cameras",
+]
+
+
+@pytest.mark.parametrize("name", DESCRIBED)
+def test_records_left_in_their_files_are_read(spark, monkeypatch, name):
+    """Framing keeps no content of over a few bytes; what reads a kind of record fetches it."""
+    monkeypatch.setattr(containers, "_MADE", {})
+    monkeypatch.setattr(C, "KEPT", 16)
+    assert_same(spark, relational.QUERIES[name], relational.SQL[name], SF)
