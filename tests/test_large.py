@@ -119,6 +119,7 @@ def test_object_tables_are_joined_once():
 #: Queries over descriptive records.
 DESCRIBED = [
     "R11_S11_cameras",
+    "J05_sensor_poses",
 ]
 
 
