@@ -120,6 +120,7 @@ def test_object_tables_are_joined_once():
 DESCRIBED = [
     "R11_S11_cameras",
     "J05_sensor_poses",
+    "R08_legacy_audio",
 ]
 
 
