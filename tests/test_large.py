@@ -121,6 +121,7 @@ DESCRIBED = [
     "R11_S11_cameras",
     "J05_sensor_poses",
     "R08_legacy_audio",
+    "E13_frame_named",
 ]
 
 
