@@ -122,6 +122,7 @@ DESCRIBED = [
     "J05_sensor_poses",
     "R08_legacy_audio",
     "E13_frame_named",
+    "J07_S16_F25_object_poses",
 ]
 
 
